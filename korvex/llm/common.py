@@ -139,7 +139,7 @@ def write_bytes(uri: str, data: bytes) -> None:
     fs, path = pafs.FileSystem.from_uri(uri)
     fs.create_dir(os.path.dirname(path), recursive=True)
     attempt = f"{path}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(attempt) as out:
+    with fs.open_output_stream(attempt, compression=None) as out:
         out.write(data)
     fs.move(attempt, path)
 
@@ -148,5 +148,5 @@ def read_bytes(uri: str) -> bytes:
     from pyarrow import fs as pafs
 
     fs, path = pafs.FileSystem.from_uri(uri)
-    with fs.open_input_stream(path) as f:
+    with fs.open_input_stream(path, compression=None) as f:
         return f.read()

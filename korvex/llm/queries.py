@@ -16,8 +16,29 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_schedule(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .projections import nearest_by_cosine
+
+    return nearest_by_cosine(_table(spark, sf_dir, "embeddings"))
+
+
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pivots import top_inner_products
+
+    return top_inner_products(_table(spark, sf_dir, "embeddings"))
+
+
+def op10_warc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_pages
+
+    return archive_pages(_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op3_nearest_neighbours": op3_nearest_neighbours,
+    "op7_exact_top_k": op7_exact_top_k,
+    "op10_warc_normalise": op10_warc_normalise,
 }
 
 OP1_SQL = r"""
@@ -51,6 +72,39 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
 FROM p
 """
 
+OP7_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS z
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.z, c.z) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 20
+"""
+
+OP10_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload FROM pages),
+f AS (
+  SELECT payload, min(page_id) AS first FROM p GROUP BY payload),
+d AS (
+  SELECT p.page_id, p.payload, f.first,
+         list_transform(string_split(sha1(p.payload), ''), lambda c: strpos('0123456789abcdef', c) - 1) AS h
+  FROM p JOIN f USING (payload))
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
+       list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         CAST((((h[(5 * i) // 4 + 1] * 16 + coalesce(h[(5 * i) // 4 + 2], 0)) >> CAST(3 - (5 * i) % 4 AS INT)) & 31) AS INT) + 1, 1)),
+         'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM d
+"""
+
 SQL = {
+    "op7_exact_top_k": OP7_SQL,
+    "op10_warc_normalise": OP10_SQL,
     "op1_mix_sources": OP1_SQL,
 }
