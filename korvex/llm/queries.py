@@ -16,6 +16,13 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_schedule(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score_documents, train
+
+    docs = _table(spark, sf_dir, "documents")
+    return score_documents(docs, train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .projections import nearest_by_cosine
 
@@ -36,6 +43,7 @@ def op10_warc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_quality_scores": op2_quality_scores,
     "op3_nearest_neighbours": op3_nearest_neighbours,
     "op7_exact_top_k": op7_exact_top_k,
     "op10_warc_normalise": op10_warc_normalise,
