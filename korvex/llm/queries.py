@@ -29,6 +29,12 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_by_cosine(_table(spark, sf_dir, "embeddings"))
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find_pii
+
+    return find_pii(_table(spark, sf_dir, "documents"))
+
+
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pivots import top_inner_products
 
@@ -45,6 +51,7 @@ QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_quality_scores": op2_quality_scores,
     "op3_nearest_neighbours": op3_nearest_neighbours,
+    "op4_personal_data": op4_personal_data,
     "op7_exact_top_k": op7_exact_top_k,
     "op10_warc_normalise": op10_warc_normalise,
 }
