@@ -3,6 +3,7 @@ and distributed connected components."""
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -50,6 +51,11 @@ class Workspace:
     def load(self, name: str, schema: T.StructType) -> DataFrame:
         return self.spark.read.schema(schema).parquet(self.path(name))
 
+    def tidy(self) -> None:
+        """Let Spark's cleaner see that finished steps are out of use, so that their shuffle files go now."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         jvm = self.spark.sparkContext._jvm
         for name in names:

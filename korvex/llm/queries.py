@@ -35,6 +35,12 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(_table(spark, sf_dir, "documents"))
 
 
+def op6_gram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .grams import near_duplicate_classes
+
+    return near_duplicate_classes(_table(spark, sf_dir, "documents"))
+
+
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pivots import top_inner_products
 
@@ -52,6 +58,7 @@ QUERIES = {
     "op2_quality_scores": op2_quality_scores,
     "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_personal_data": op4_personal_data,
+    "op6_gram_join": op6_gram_join,
     "op7_exact_top_k": op7_exact_top_k,
     "op10_warc_normalise": op10_warc_normalise,
 }
