@@ -35,6 +35,15 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(_table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import drop_repeated_lines
+
+    kept = drop_repeated_lines(_table(spark, sf_dir, "documents"))
+    return kept.select(
+        "doc_id", "n_lines", "n_removed", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5")
+    )
+
+
 def op6_gram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .grams import near_duplicate_classes
 
@@ -58,6 +67,7 @@ QUERIES = {
     "op2_quality_scores": op2_quality_scores,
     "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_personal_data": op4_personal_data,
+    "op5_line_dedup": op5_line_dedup,
     "op6_gram_join": op6_gram_join,
     "op7_exact_top_k": op7_exact_top_k,
     "op10_warc_normalise": op10_warc_normalise,

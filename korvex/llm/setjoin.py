@@ -32,9 +32,23 @@ CANDIDATE_BITS = 27
 Units = Callable[[np.ndarray, pa.Array], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]
 
 
+#: A prefix is longer than the shortest that works by one token in so many of the set.
+STEP = 16
+
+
 def prefix_lengths(sizes: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Of sets of these sizes, so many first tokens in any common order meet in every pair of Jaccard num/den or more."""
-    return np.where(sizes > 0, sizes - (-(-sizes * num // den)) + 1, 0)
+    """Tokens that a set of size n posts: n - ceil(n num/den) + 1 + n // STEP.
+
+    Let x be the one of a pair whose prefix ends first in the common order. At most ceil(n num/den) - 1 - n // STEP
+    common tokens lie behind it, so a pair of Jaccard num/den or more has at least 1 + n // STEP of them before, and
+    those are in both prefixes: the pair meets in that many lists, not just in one.
+    """
+    return np.where(sizes > 0, sizes - (-(-sizes * num // den)) + 1 + sizes // STEP, 0)
+
+
+def lists_needed(size: F.Column, num: int, den: int) -> F.Column:
+    """Lists in which a set of this size meets any set like it (which may be smaller by num/den)."""
+    return 1 + F.floor(F.ceil(size * num / den) / STEP)
 
 
 def linked(common, a, b, num: int, den: int):
@@ -77,7 +91,7 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 def unsigned(x) -> np.ndarray:
-    return np.ascontiguousarray(x, dtype=np.int64).view(np.uint64)
+    return x if x.dtype == np.uint64 else np.ascontiguousarray(x, dtype=np.int64).view(np.uint64)
 
 
 def binary_rows(parts: np.ndarray, chunks: list[list[bytes]], names: list[str]) -> pa.RecordBatch:
@@ -161,30 +175,37 @@ def ordered_prefixes(tokens: np.ndarray, counts: np.ndarray, table: np.ndarray,
     return tokens[picked], owner[picked], position
 
 
-def postings(sets: Sets, table: np.ndarray, num: int, den: int, meet: Callable, schema: str) -> DataFrame:
-    """``meet(tokens, prints, sizes, positions)`` over each part's prefix postings, sorted by token; it returns a frame.
+def postings(
+    sets: Sets, table: np.ndarray, num: int, den: int, meet: Callable, schema: str, carry: list[tuple[type, Callable]] = ()
+) -> DataFrame:
+    """``meet(tokens, prints, sizes, positions, *carried)`` over each part's prefix postings; it returns a frame.
 
-    Equal sets post once a task; ``meet`` sees them once in all. Tokens are cut to part and 32 bits: two that fall
+    Only lists of two or more sets get there, sorted by token. ``carry`` adds columns: their type, and how they come
+    from a unit's keys; of equal sets, the one with the least carried values is taken.
+
+    Equal sets post once a task or so and are seen once in all. Tokens are cut to part and 32 bits: two that fall
     together only make a candidate more.
     """
     bits = sets.part_bits
     shared = sets.ws.spark.sparkContext.broadcast(table)
+    names = ["tokens", "prints", "sizes", "positions", *[f"c{i}" for i in range(len(carry))]]
+    types = [np.uint32, np.uint64, np.uint16, np.uint16, *[t for t, _ in carry]]
 
     def each(slices):
         def flush(held):
-            tokens, prints, sizes, positions = (np.concatenate(x) for x in zip(*held, strict=True))
+            tokens, *columns = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.argsort(tokens)
             tokens = tokens[order]
-            columns = within_part(tokens, bits), prints[order], sizes[order], positions[order]
-            parts, chunks = split_by_part(tokens, bits, *columns)
-            return binary_rows(parts, chunks, ["tokens", "prints", "sizes", "positions"])
+            parts, chunks = split_by_part(tokens, bits, within_part(tokens, bits), *[c[order] for c in columns])
+            return binary_rows(parts, chunks, names)
 
         held, size, seen = [], 0, set()
-        for _, tokens, counts, prints in slices:
+        for keys, tokens, counts, prints in slices:
             new = np.array([p not in seen and not seen.add(p) for p in prints.tolist()], bool)
             mine, owner, position = ordered_prefixes(tokens[np.repeat(new, counts)], counts[new], shared.value, num, den)
             sizes = np.minimum(counts[new], 65535).astype(np.uint16)
-            held.append((mine, prints[new][owner], sizes[owner], np.minimum(position, 65535).astype(np.uint16)))
+            more = [fn(keys[new]).astype(t)[owner] for t, fn in carry]
+            held.append((mine, prints[new][owner], sizes[owner], np.minimum(position, 65535).astype(np.uint16), *more))
             size += len(mine)
             if size >= FLUSH_TOKENS // 2:
                 yield flush(held)
@@ -193,37 +214,40 @@ def postings(sets: Sets, table: np.ndarray, num: int, den: int, meet: Callable,
             yield flush(held)
 
     def reduce(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        tokens = np.frombuffer(b"".join(pdf["tokens"]), np.uint32)
-        prints = np.frombuffer(b"".join(pdf["prints"]), np.uint64)
-        sizes = np.frombuffer(b"".join(pdf["sizes"]), np.uint16)
-        positions = np.frombuffer(b"".join(pdf["positions"]), np.uint16)
-        order = np.lexsort((prints, tokens))
-        tokens, prints, sizes, positions = tokens[order], prints[order], sizes[order], positions[order]
+        tokens, prints, *rest = (np.frombuffer(b"".join(pdf[n]), t) for n, t in zip(names, types, strict=True))
+        order = np.lexsort((*rest[2:][::-1], prints, tokens))
+        tokens, prints, *rest = (x[order] for x in (tokens, prints, *rest))
         new = np.ones(len(tokens), bool)
         new[1:] = (tokens[1:] != tokens[:-1]) | (prints[1:] != prints[:-1])
-        tokens, prints, sizes, positions = tokens[new], prints[new], sizes[new], positions[new]
+        tokens, prints, *rest = (x[new] for x in (tokens, prints, *rest))
         lists = np.concatenate([[True], tokens[1:] != tokens[:-1]])
-        several = np.repeat(np.diff(np.append(np.flatnonzero(lists), len(tokens))) > 1, np.diff(np.append(np.flatnonzero(lists), len(tokens))))
+        sizes = np.diff(np.append(np.flatnonzero(lists), len(tokens)))
+        several = np.repeat(sizes > 1, sizes)
         whole = (np.uint64(key[0]) << np.uint64(32)) | tokens[several].astype(np.uint64)
-        return meet(signed(whole), prints[several], sizes[several].astype(np.int64), positions[several].astype(np.int64))
+        columns = [x[several].astype(np.int64) for x in rest]
+        return meet(signed(whole), prints[several], *columns)
 
-    packed = sets.scan(each, "part int, tokens binary, prints binary, sizes binary, positions binary")
+    packed = sets.scan(each, "part int, " + ", ".join(f"{n} binary" for n in names))
     return packed.groupBy("part").applyInPandas(reduce, schema)
 
 
 def gather(sets: Sets, chosen: DataFrame, name: str) -> DataFrame:
-    """(print, tokens) of the chosen rows (columns print, key: long), written to the shared folder.
+    """(print, tokens) of the chosen rows (columns print and the keys, all long), written to the shared folder.
 
     The scan keeps what a bitmap of 2**CANDIDATE_BITS bits admits; the few rows it admits wrongly, and repeated rows,
     only repeat a set under its own print.
     """
     bits, parts = CANDIDATE_BITS, 6
 
-    def mark(prints: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        return (K.mix(prints ^ K.mix(keys)) >> np.uint64(64 - bits)).astype(np.int64)
+    names = [c for c in chosen.columns if c != "print"]
+
+    def mark(prints: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+        for key in keys:
+            prints = K.mix(prints ^ K.mix(unsigned(key)))
+        return (prints >> np.uint64(64 - bits)).astype(np.int64)
 
     def partial(batches):
-        slots = [mark(unsigned(b["print"].to_numpy()), unsigned(b["key"].to_numpy())) for b in batches]
+        slots = [mark(unsigned(b["print"].to_numpy()), *[b[n].to_numpy() for n in names]) for b in batches]
         slots = np.unique(np.concatenate(slots)) if slots else np.zeros(0, np.int64)
         part = slots >> (bits - parts)
         yield pd.DataFrame([(int(p), slots[part == p].astype(np.uint32).tobytes()) for p in np.unique(part)], columns=["part", "slots"])
@@ -233,7 +257,7 @@ def gather(sets: Sets, chosen: DataFrame, name: str) -> DataFrame:
         flags[np.frombuffer(b"".join(pdf["slots"]), np.uint32).astype(np.int64) & ((1 << (bits - parts)) - 1)] = True
         return pd.DataFrame({"part": [key[0]], "flags": [np.packbits(flags).tobytes()]})
 
-    slots = chosen.select("print", "key").mapInPandas(partial, "part int, slots binary")
+    slots = chosen.mapInPandas(partial, "part int, slots binary")
     bitmap = np.zeros(1 << (bits - 3), np.uint8)
     width = 1 << (bits - parts - 3)
     for part, flags in slots.groupBy("part").applyInPandas(union, "part int, flags binary").toLocalIterator():
@@ -242,7 +266,7 @@ def gather(sets: Sets, chosen: DataFrame, name: str) -> DataFrame:
 
     def each(slices):
         for keys, tokens, counts, prints in slices:
-            at = mark(prints, keys)
+            at = mark(prints, *keys.reshape(len(prints), -1).T)
             keep = (shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool) & (counts > 0)
             ends = np.cumsum(counts)
             rows = [tokens[ends[u] - counts[u] : ends[u]].tobytes() for u in np.flatnonzero(keep).tolist()]
