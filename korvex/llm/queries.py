@@ -56,6 +56,22 @@ def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_inner_products(_table(spark, sf_dir, "embeddings"))
 
 
+def op8_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .idcodec import encode_documents
+
+    return encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op9_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack_documents
+
+    return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_warc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archive_pages
 
@@ -70,6 +86,8 @@ QUERIES = {
     "op5_line_dedup": op5_line_dedup,
     "op6_gram_join": op6_gram_join,
     "op7_exact_top_k": op7_exact_top_k,
+    "op8_binary_ids": op8_binary_ids,
+    "op9_pack_sequences": op9_pack_sequences,
     "op10_warc_normalise": op10_warc_normalise,
 }
 
