@@ -91,7 +91,7 @@ def ann_dataset(spark: SparkSession, rows: int = 1000, queries: int = 100, dimen
     from ..operators.batch_knn import batch_knn
 
     rng = np.random.default_rng(seed)
-    frame = lambda n: spark.createDataFrame(pd.DataFrame({"id": np.arange(n), "emb": list(rng.standard_normal((n, dimension)))}), "id long, emb array<float>")
+    frame = lambda n: spark.createDataFrame(pd.DataFrame({"id": np.arange(n), "emb": rng.standard_normal((n, dimension)).tolist()}), "id long, emb array<float>")
     train, test = frame(rows), frame(queries)
     near = batch_knn(train.withColumnRenamed("emb", "vector"), test.select(F.col("id").alias("query_id"), F.col("emb").alias("vector")), k, "cosine")
     lists = near.groupBy(F.col("query_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("neighbors_id"))

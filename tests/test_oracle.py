@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import rows_of
+from helpers import rows_of
 from korvex import queries as core
 
 
