@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+BATCH_ROWS = 2000
 _OWN_DIR: dict[str, str] = {}
 
 
@@ -39,6 +40,9 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
+        # documents are long: ten thousand of them in one Arrow batch would cost a worker hundreds of megabytes
+        if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
         self.root = f"{shared_dir(spark)}/korvex/{label}-{uuid.uuid4().hex[:12]}"
 
     def path(self, name: str) -> str:
