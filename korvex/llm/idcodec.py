@@ -33,87 +33,99 @@ from .common import Workspace, partitions, read_bytes, text_or_empty, write_byte
 from .tokens import encoder
 
 MAGIC, VERSION = b"KVXI", 1
-BLOCK = 8192
+BLOCK = 4096
 FILE_IDS = 8_000_000
-H2, H1 = 1 << 12, 1 << 11
+H2, H1 = 1 << 11, 1 << 10
 CONFIDENCE = 15
 CLASSES = 18
 _U = np.uint64
-_TOP, _BOTTOM, _MASK = _U(40), _U(1 << 26), _U((1 << 56) - 1)
+_TOP, _BOTTOM, _SAME, _MASK = _U(40), _U(1 << 26), _U(1 << 40), _U((1 << 56) - 1)
 
 
 class _Models:
-    """The models of all lanes; ``n`` lanes, each with tables of its own."""
+    """The models of all lanes; ``n`` lanes, each with tables of its own. A table slot is id << 4 | confidence."""
 
     def __init__(self, n: int):
-        self.lane = np.arange(n)
+        self.lane = np.arange(n, dtype=np.int32)
         self.base2, self.base1 = self.lane * H2, self.lane * H1
-        self.p2, self.c2 = np.zeros(n * H2, np.uint32), np.zeros(n * H2, np.uint8)
-        self.p1, self.c1 = np.zeros(n * H1, np.uint32), np.zeros(n * H1, np.uint8)
+        self.slots2, self.slots1 = np.zeros(n * H2, np.int32), np.zeros(n * H1, np.int32)
         wide = CONFIDENCE + 1
-        self.t2, self.t1 = np.full(n * wide, 16384, np.int32), np.full(n * wide, 16384, np.int32)
-        for c in range(wide):
-            self.t2[c::wide] = 2000 + c * 4000
-            self.t1[c::wide] = 2000 + c * 3000
-        self.baset = self.lane * wide
+        self.t2 = np.tile(2000 + np.arange(wide, dtype=np.int32) * 4000, n)
+        self.t1 = np.tile(2000 + np.arange(wide, dtype=np.int32) * 3000, n)
+        self.baset, self.basef = self.lane * wide, self.lane * CLASSES
         self.g2, self.g1 = np.full(n, 16384, np.int32), np.full(n, 16384, np.int32)
         self.w2, self.w1 = np.full(n, 48, np.int32), np.full(n, 48, np.int32)
-        self.freq = np.ones((n, CLASSES), np.int32) * 4
+        self.freq = np.full((n, CLASSES), 4, np.int32)
         self.total = np.full(n, 4 * CLASSES, np.int32)
-        self.last, self.before = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.last, self.mixed = np.zeros(n, np.int32), np.zeros(n, np.int32)
+        self.age = 0
 
     def predict(self) -> None:
-        self.s2 = self.base2 + ((self.last * 40503 + self.before * 30011 + 7) & (H2 - 1))
-        self.s1 = self.base1 + ((self.last * 40503 + (self.last >> 7)) & (H1 - 1))
-        self.id2, self.id1 = self.p2[self.s2], self.p1[self.s1]
-        self.k2, self.k1 = self.c2[self.s2], self.c1[self.s1]
+        """id2, id1 and the shares f2, f1 of 65536; f1 is 0 where both orders name one id."""
+        self.s2 = self.base2 + ((self.last * 2503 + self.mixed) & (H2 - 1))
+        self.s1 = self.base1 + ((self.last * 2503 + (self.last >> 7)) & (H1 - 1))
+        slot2, slot1 = self.slots2.take(self.s2), self.slots1.take(self.s1)
+        self.id2, self.id1 = slot2 >> 4, slot1 >> 4
+        self.k2, self.k1 = slot2 & CONFIDENCE, slot1 & CONFIDENCE
         self.i2, self.i1 = self.baset + self.k2, self.baset + self.k1
-        self.a2, self.a1 = self.t2[self.i2], self.t1[self.i1]
-        m2 = (self.a2 * self.w2 + self.g2 * (64 - self.w2)) >> 6
-        m1 = (self.a1 * self.w1 + self.g1 * (64 - self.w1)) >> 6
-        self.f2 = np.clip(m2, 32, 65536 - 2048)
+        self.a2, self.a1 = self.t2.take(self.i2), self.t1.take(self.i1)
+        self.f2 = ((self.a2 - self.g2) * self.w2 >> 6) + self.g2
+        m1 = ((self.a1 - self.g1) * self.w1 >> 6) + self.g1
+        np.clip(self.f2, 32, 65536 - 2048, out=self.f2)
         rest = 65536 - self.f2
         self.differ = self.id1 != self.id2
-        self.f1 = np.where(self.differ, np.clip((rest * (m1 >> 1)) >> 15, 16, rest - 1024), 0)
-
-    def learn(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, escape: np.ndarray, magnitude: np.ndarray) -> None:
-        goal = hit2 * 65535
-        near = np.abs(goal - self.a2) < np.abs(goal - self.g2)
-        self.w2 = np.clip(self.w2 + np.where(near, 1, -1), 4, 60)
-        self.t2[self.i2] = self.a2 + ((goal - self.a2) >> 4)
-        self.g2 += (goal - self.g2) >> 5
-        asked = ~hit2 & self.differ
-        goal = hit1 * 65535
-        near = np.abs(goal - self.a1) < np.abs(goal - self.g1)
-        self.w1 = np.where(asked, np.clip(self.w1 + np.where(near, 1, -1), 4, 60), self.w1)
-        self.t1[self.i1] = self.a1 + np.where(asked, (goal - self.a1) >> 4, 0)
-        self.g1 += np.where(asked, (goal - self.g1) >> 5, 0)
+        self.f1 = rest * (m1 >> 1) >> 15
+        np.minimum(self.f1, rest - 1024, out=self.f1)
+        np.maximum(self.f1, 16, out=self.f1)
+        self.f1 *= self.differ
+
+    def learn(self, ids: np.ndarray, hit2: np.ndarray, escape: np.ndarray, magnitude: np.ndarray) -> None:
+        goal = hit2 * np.int32(65535)
+        e2, eg = goal - self.a2, goal - self.g2
+        near = (np.abs(e2) < np.abs(eg)).view(np.int8)
+        self.w2 += near + near - np.int8(1)
+        np.clip(self.w2, 4, 60, out=self.w2)
+        self.t2[self.i2] = self.a2 + (e2 >> 4)
+        self.g2 += eg >> 5
         right = self.id1 == ids
-        self.c2[self.s2] = np.where(hit2, np.minimum(self.k2 + 1, CONFIDENCE), 0)
-        self.p2[self.s2] = ids
-        self.c1[self.s1] = np.where(right, np.minimum(self.k1 + 1, CONFIDENCE), self.k1 >> 1)
-        self.p1[self.s1] = np.where(right | (self.k1 < 2), ids, self.id1)
-        self.freq[self.lane, magnitude] += escape * 24
-        self.total += escape * 24
-        if self.total.max() > 8192:
-            over = self.total > 8192
-            self.freq[over] = (self.freq[over] + 1) >> 1
-            self.total = self.freq.sum(axis=1, dtype=np.int32)
-        self.before, self.last = self.last, ids.astype(np.int64)
+        asked = self.differ & ~hit2
+        goal = right * np.int32(65535)
+        e1, eg = (goal - self.a1) * asked, (goal - self.g1) * asked
+        near = (np.abs(e1) < np.abs(eg)).view(np.int8)
+        self.w1 += (near + near - np.int8(1)) * asked
+        np.clip(self.w1, 4, 60, out=self.w1)
+        self.t1[self.i1] = self.a1 + (e1 >> 4)
+        self.g1 += eg >> 5
+        named = ids << 4
+        self.slots2[self.s2] = named + np.minimum((self.k2 + 1) * hit2, CONFIDENCE)
+        weaker = self.k1 >> 1
+        self.slots1[self.s1] = np.where(right, named + np.minimum(self.k1 + 1, CONFIDENCE), np.where(self.k1 < 2, named, (self.id1 << 4) + weaker))
+        self.freq.reshape(-1)[self.basef + magnitude] += escape * np.int32(24)
+        self.total += escape * np.int32(24)
+        self.age += 1
+        if self.age % 64 == 0:
+            over = np.flatnonzero(self.total > 8192 - 64 * 24)
+            if len(over):
+                self.freq[over] = (self.freq[over] + 1) >> 1
+                self.total[over] = self.freq[over].sum(axis=1, dtype=np.int32)
+        self.mixed = self.last * 1327
+        self.last = ids
 
 
 def _magnitudes(ids: np.ndarray) -> np.ndarray:
-    return np.frexp(ids.astype(np.float64))[1].astype(np.int64)
+    return _BIT_LENGTH.take(ids)
+
+
+_BIT_LENGTH = np.frexp(np.arange(1 << 17, dtype=np.float64))[1].astype(np.int32)
 
 
 class _Coder:
     def __init__(self, n: int):
         self.low, self.range = np.zeros(n, np.uint64), np.full(n, _MASK)
 
-    def _due(self) -> np.ndarray:
-        same = ((self.low ^ (self.low + self.range)) >> _TOP) == 0
-        small = self.range < _BOTTOM
-        return np.flatnonzero(same | small), same
+    def _due(self) -> tuple[np.ndarray, np.ndarray]:
+        same = (self.low ^ (self.low + self.range)) < _SAME
+        return np.flatnonzero(same | (self.range < _BOTTOM)), same
 
     def narrow(self, step, cumulative, share) -> None:
         self.low += step * cumulative
@@ -180,27 +192,34 @@ def encode_blocks(blocks: np.ndarray) -> list[np.ndarray]:
     """The coded words of each row of equally long blocks."""
     n, size = blocks.shape
     models, coder = _Models(n), _Encoder(n, 4 * size + 64)
-    columns = np.ascontiguousarray(blocks.T).astype(np.uint32)
+    columns = np.ascontiguousarray(blocks.T).astype(np.int32)
     for ids in columns:
         models.predict()
         hit2 = models.id2 == ids
-        hit1 = ~hit2 & (models.id1 == ids)
+        hit1 = (models.id1 == ids) & ~hit2
         escape = ~(hit2 | hit1)
-        share = np.where(hit2, models.f2, np.where(hit1, models.f1, 65536 - models.f2 - models.f1))
-        start = np.where(hit2, 0, np.where(hit1, models.f2, models.f2 + models.f1))
+        both = models.f2 + models.f1
+        start = models.f2 * hit1 + both * escape
+        share = models.f2 * hit2 + models.f1 * hit1 + (65536 - both) * escape
         coder.narrow(coder.range >> _U(16), start.astype(np.uint64), share.astype(np.uint64))
         coder.settle()
         magnitude = _magnitudes(ids)
-        if escape.any():
-            cumulative = np.cumsum(models.freq, axis=1)
-            upto, own = cumulative[models.lane, magnitude], models.freq[models.lane, magnitude]
-            step = coder.range // np.where(escape, models.total, 1).astype(np.uint64)
-            coder.narrow(step, np.where(escape, upto - own, 0).astype(np.uint64), np.where(escape, own, 1).astype(np.uint64))
+        out = np.flatnonzero(escape)
+        if len(out):
+            m = magnitude[out]
+            rows = models.freq[out]
+            own = rows[np.arange(len(out)), m].astype(np.uint64)
+            upto = rows.cumsum(axis=1)[np.arange(len(out)), m].astype(np.uint64)
+            step = coder.range[out] // models.total[out].astype(np.uint64)
+            coder.low[out] += step * (upto - own)
+            coder.range[out] = step * own
             coder.settle()
-            bits = np.where(escape, _low_bits(magnitude), 0).astype(np.uint64)
-            coder.narrow(coder.range >> bits, np.where(escape, ids & ((_U(1) << bits) - _U(1)), 0).astype(np.uint64), _U(1))
+            bits = _low_bits(m).astype(np.uint64)
+            step = coder.range[out] >> bits
+            coder.low[out] += step * (ids[out].astype(np.uint64) & ((_U(1) << bits) - _U(1)))
+            coder.range[out] = step
             coder.settle()
-        models.learn(ids, hit2, hit1, escape, magnitude)
+        models.learn(ids, hit2, escape, magnitude)
     coder.finish()
     return [coder.out[k, : coder.at[k]].copy() for k in range(n)]
 
@@ -208,37 +227,42 @@ def encode_blocks(blocks: np.ndarray) -> list[np.ndarray]:
 def decode_blocks(words: list[np.ndarray], size: int) -> np.ndarray:
     n = len(words)
     models, coder = _Models(n), _Decoder(words)
-    out = np.zeros((size, n), np.uint32)
+    out_ids = np.zeros((size, n), np.uint32)
     for t in range(size):
         models.predict()
         step = coder.range >> _U(16)
         value = ((coder.code - coder.low) // step).astype(np.int64)
+        both = models.f2 + models.f1
         hit2 = value < models.f2
-        hit1 = ~hit2 & (value < models.f2 + models.f1)
-        escape = ~(hit2 | hit1)
-        share = np.where(hit2, models.f2, np.where(hit1, models.f1, 65536 - models.f2 - models.f1))
-        start = np.where(hit2, 0, np.where(hit1, models.f2, models.f2 + models.f1))
+        escape = value >= both
+        hit1 = ~(hit2 | escape)
+        start = models.f2 * hit1 + both * escape
+        share = models.f2 * hit2 + models.f1 * hit1 + (65536 - both) * escape
         coder.narrow(step, start.astype(np.uint64), share.astype(np.uint64))
         coder.settle()
         ids = np.where(hit2, models.id2, models.id1)
-        if escape.any():
-            cumulative = np.cumsum(models.freq, axis=1)
-            step = coder.range // np.where(escape, models.total, 1).astype(np.uint64)
-            value = np.minimum(((coder.code - coder.low) // step).astype(np.int64), models.total - 1)
-            magnitude = np.where(escape, (cumulative <= value[:, None]).sum(axis=1), 0)
-            upto, own = cumulative[models.lane, magnitude], models.freq[models.lane, magnitude]
-            coder.narrow(step, np.where(escape, upto - own, 0).astype(np.uint64), np.where(escape, own, 1).astype(np.uint64))
+        out = np.flatnonzero(escape)
+        if len(out):
+            rows, total = models.freq[out], models.total[out]
+            cumulative = rows.cumsum(axis=1)
+            step = coder.range[out] // total.astype(np.uint64)
+            value = np.minimum(((coder.code[out] - coder.low[out]) // step).astype(np.int64), total - 1)
+            m = (cumulative <= value[:, None]).sum(axis=1)
+            own = rows[np.arange(len(out)), m].astype(np.uint64)
+            upto = cumulative[np.arange(len(out)), m].astype(np.uint64)
+            coder.low[out] += step * (upto - own)
+            coder.range[out] = step * own
             coder.settle()
-            bits = np.where(escape, _low_bits(magnitude), 0).astype(np.uint64)
-            step = coder.range >> bits
-            low = np.where(escape, (coder.code - coder.low) // step, _U(0))
-            coder.narrow(step, low, _U(1))
+            bits = _low_bits(m).astype(np.uint64)
+            step = coder.range[out] >> bits
+            low = (coder.code[out] - coder.low[out]) // step
+            coder.low[out] += step * low
+            coder.range[out] = step
             coder.settle()
-            whole = np.where(magnitude > 0, (_U(1) << bits) | low, _U(0)).astype(np.uint32)
-            ids = np.where(escape, whole, ids)
-        out[t] = ids
-        models.learn(ids, hit2, hit1, escape, _magnitudes(ids))
-    return np.ascontiguousarray(out.T)
+            ids[out] = np.where(m > 0, (_U(1) << bits) | low, _U(0)).astype(np.int32)
+        out_ids[t] = ids
+        models.learn(ids, hit2, escape, _magnitudes(ids))
+    return np.ascontiguousarray(out_ids.T)
 
 
 def encode_ids(ids: np.ndarray, block: int = BLOCK) -> bytes:

@@ -9,16 +9,21 @@ where both neighbours are plain ASCII or Latin-1 letters (lead byte 0xC3); aroun
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
 
 from . import textkit as K
 
+#: New pieces that are encoded as one text.
+JOINED = 2048
 #: Pieces that a process remembers; beyond it starts anew.
 MEMORY = 1_500_000
 SLICE = 2 << 20
 
+#: A space, then plain ASCII or Latin-1 letters: lower-casing keeps the number of bytes.
+_JOINABLE = re.compile(rb" (?:[\x21-\x7E]|\xC3[\x80-\xBF])+")
 _PLAIN = np.zeros(256, bool)
 _PLAIN[0x21:0x7F] = True
 
@@ -30,6 +35,13 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self._forget()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        # both vocabularies write a token's bytes as one character each, and mark word ends by a suffix
+        self.widths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.widths[i] = len(token.removesuffix("</w>"))
+        probe = self.tokenizer.encode(" a b", add_special_tokens=False).ids
+        self.spaces = int(self.widths[probe].sum() == 4)
 
     def _forget(self) -> None:
         self.hashes = np.zeros(0, np.uint64)
@@ -37,13 +49,34 @@ class Encoder:
         self.pool: list[np.ndarray] = [np.zeros(0, np.uint32)]
         self.flat = self.pool[0]
 
-    def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
+    def _encode_each(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        ids = [e.ids for e in encode([p.decode() for p in pieces], add_special_tokens=False)]
+        return np.array([t for x in ids for t in x], np.uint32), np.array([len(x) for x in ids], np.int32)
+
+    def _encode_joined(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces that each are a space and plain characters: as one text, cut where their bytes end. If ids do
+        not end there, the pieces are encoded one by one."""
+        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        ids = np.array(encode([b"".join(pieces).decode()], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.cumsum(self.widths[ids])
+        wanted = np.cumsum([len(p) - 1 + self.spaces for p in pieces])
+        at = np.searchsorted(ends, wanted)
+        if not len(ids) or ends[-1] != wanted[-1] or not np.array_equal(ends[at], wanted):
+            return self._encode_each(pieces)
+        return ids, np.diff(np.concatenate([[0], at + 1])).astype(np.int32)
+
+    def _learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
         if len(self.hashes) + len(hashes) > MEMORY:
             self._forget()
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        ids = [e.ids for e in encode(texts, add_special_tokens=False)]
-        lengths = np.array([len(x) for x in ids], np.int32)
-        new = np.array([t for x in ids for t in x], np.uint32)
+        joinable = np.array([_JOINABLE.fullmatch(p) is not None and b"<|" not in p for p in pieces], bool)
+        order = np.argsort(~joinable, kind="stable")
+        hashes, pieces, n = hashes[order], [pieces[i] for i in order.tolist()], int(joinable.sum())
+        parts = [self._encode_joined(pieces[k : min(k + JOINED, n)]) for k in range(0, n, JOINED)]
+        if n < len(pieces):
+            parts.append(self._encode_each(pieces[n:]))
+        new = np.concatenate([p for p, _ in parts])
+        lengths = np.concatenate([c for _, c in parts])
         starts = len(self.flat) + np.cumsum(lengths, dtype=np.int64) - lengths
         order = np.argsort(np.concatenate([self.hashes, hashes]), kind="stable")
         self.flat = np.concatenate([self.flat, new])
@@ -59,8 +92,9 @@ class Encoder:
         before[1:] = _PLAIN[raw[:-1]]
         before[2:] |= (raw[1:-1] >= 0x80) & (raw[:-2] == 0xC3)
         after[:-1] = _PLAIN[raw[1:]] | (raw[1:] == 0xC3)
-        at = np.flatnonzero((raw == 0x20) & before & after)
-        return np.unique(np.concatenate([at, cuts[:-1][np.diff(cuts) > 0]]))
+        starts = (raw == 0x20) & before & after
+        starts[cuts[:-1][np.diff(cuts) > 0]] = True
+        return np.flatnonzero(starts)
 
     def encode(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, ids of each text)."""
@@ -80,7 +114,7 @@ class Encoder:
             if missing.any():
                 data = part.tobytes()
                 spans = zip(starts[first[missing]].tolist(), ends[first[missing]].tolist(), strict=True)
-                self._learn(known[missing], [data[a:b].decode() for a, b in spans])
+                self._learn(known[missing], [data[a:b] for a, b in spans])
             at = np.searchsorted(self.hashes, known)[back]
             lengths = self.lengths[at].astype(np.int64)
             parts.append(self.flat[K.gather_runs(self.starts[at], lengths)])
