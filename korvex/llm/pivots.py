@@ -114,8 +114,9 @@ def top_inner_products(vectors: DataFrame, every: int = 20, k: int = 20, scale:
         map_vectors(vectors, index, "vec_id long, vec binary, far binary, far_query binary", ["vec_id", "vec", "far", "far_query"], dim),
         "table",
     )
-    queries = table.where(F.col("vec_id") % every == 0).select(F.lit(0).alias("part"), F.col("vec_id").alias("query_id"), "vec", "far_query")
-    rows = table.select(F.lit(0).alias("part"), "vec_id", "vec", "far")
+    part = F.pmod("vec_id", F.lit(1)).alias("part")  # one group; a literal would turn its equi-joins into nested loops
+    queries = table.where(F.col("vec_id") % every == 0).select(part, F.col("vec_id").alias("query_id"), "vec", "far_query")
+    rows = table.select(part, "vec_id", "vec", "far")
 
     def work(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
