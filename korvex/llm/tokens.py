@@ -78,11 +78,18 @@ class Encoder:
         new = np.concatenate([p for p, _ in parts])
         lengths = np.concatenate([c for _, c in parts])
         starts = len(self.flat) + np.cumsum(lengths, dtype=np.int64) - lengths
-        order = np.argsort(np.concatenate([self.hashes, hashes]), kind="stable")
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.hashes, hashes[order])
         self.flat = np.concatenate([self.flat, new])
-        self.hashes = np.concatenate([self.hashes, hashes])[order]
-        self.starts = np.concatenate([self.starts, starts])[order]
-        self.lengths = np.concatenate([self.lengths, lengths])[order]
+        self.hashes = np.insert(self.hashes, at, hashes[order])
+        self.starts = np.insert(self.starts, at, starts[order])
+        self.lengths = np.insert(self.lengths, at, lengths[order])
+
+    def _missing(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.ones(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return self.hashes[at] != hashes
 
     def _pieces(self, raw: np.ndarray, cuts: np.ndarray) -> np.ndarray:
         n = len(raw)
@@ -107,7 +114,7 @@ class Encoder:
             ends = np.append(starts[1:], len(part))
             hashes = K.span_hashes(part, starts, ends, lower=False)
             known, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-            missing = ~np.isin(known, self.hashes, assume_unique=True)
+            missing = self._missing(known)
             if len(self.hashes) + missing.sum() > MEMORY:
                 self._forget()
                 missing[:] = True
