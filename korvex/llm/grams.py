@@ -1,14 +1,15 @@
 """N-gram Jaccard join by a token-group matrix: documents whose 5-word shingle sets have Jaccard 0.75 or more are linked.
 
 1. Equal sets collapse to one fingerprint. All further work is on distinct sets.
-2. Tokens get a rarity order over all documents, and every set posts its prefix: pairs over the threshold share a
-   posted token.
-3. Similar documents are partitioned into groups: a set joins the leader (the smallest fingerprint) it meets in most of
-   its posting lists, if the pair is verified; groups that share members are one class, cut into groups of at most about
-   ``GROUP`` sets.
+2. Tokens get a rarity order over all documents, and every set posts its prefix: pairs over the threshold share posted
+   tokens, the more the larger they are.
+3. Similar documents are partitioned into groups, in ``ROUNDS`` rounds: every list of several classes names a leader from
+   its largest class (another one each round), and a set moves to the class of the leader it meets in most lists, if the
+   pair is verified. Sets of one class are surely connected; a class is cut into groups of at most about ``GROUP``.
 4. The matrix has a cell for every (token, group) of the lists that still hold several classes. A set that meets a group
-   of another, larger class there is a query to it. Each group's union of tokens bounds the overlap of a query with any
-   member; only groups that reach 3/4 of the query's size are opened, and their members verified exactly.
+   of another, larger class in as many cells as a link needs is a query to it. Each group's union of tokens bounds the
+   overlap of a query with any member; only groups that reach 3/4 of the query's size are opened, and their members
+   verified exactly.
 5. Classes are the connected components of the links found. No link between different sets is lost: a pair in different
    classes after step 3 shares a posted token, so step 4 compares it.
 
@@ -34,6 +35,8 @@ from .common import Workspace, connected_components, text_or_empty
 NUM, DEN = 3, 4
 GROUP = 256
 QUERIES = 1024
+#: Times that sets are tried against the leaders of their lists before the matrix takes over.
+ROUNDS = 3
 
 
 def document_units(ids: np.ndarray, text: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -42,11 +45,8 @@ def document_units(ids: np.ndarray, text: pa.Array) -> Iterator[tuple[np.ndarray
         yield keys[i:j], tokens, counts
 
 
-def leaders(tokens, prints, sizes, positions) -> pd.DataFrame:
-    """Posting lists as rows, each with the smallest fingerprint of its list as leader."""
-    first = np.concatenate([[True], tokens[1:] != tokens[:-1]])[: len(tokens)]
-    leader = prints[np.flatnonzero(first)][np.cumsum(first) - 1] if len(tokens) else prints
-    return pd.DataFrame({"token": tokens, "print": J.signed(prints), "leader": J.signed(leader)})
+def as_rows(tokens, prints, sizes, positions) -> pd.DataFrame:
+    return pd.DataFrame({"token": tokens, "print": J.signed(prints), "size": sizes.astype(np.int32)})
 
 
 def open_groups(queries: pd.DataFrame, members: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
@@ -75,6 +75,14 @@ def open_groups(queries: pd.DataFrame, members: pd.DataFrame, num: int, den: int
     return pd.DataFrame(links, columns=["a", "b"]).astype(np.int64)
 
 
+def _placed(ws: Workspace, lists: DataFrame, classes: DataFrame, name: str) -> DataFrame:
+    """(token, print, n) of the lists with each set's component (itself, if it has none yet) and that one's size."""
+    sizes = classes.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    known = ws.save(classes.join(sizes, "component"), f"{name}-known")
+    out = lists.select("token", "print", F.col("size").alias("n")).join(known, "print", "left")
+    return ws.save(out.withColumns({"component": F.coalesce("component", "print"), "size": F.coalesce("size", F.lit(1))}), name)
+
+
 def near_duplicate_classes(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     spark = docs.sparkSession
@@ -97,45 +105,72 @@ def near_duplicate_classes(docs: DataFrame, num: int = NUM, den: int = DEN) -> D
     # 2. posting lists of two or more sets
     table = J.rarity_table(sets)
     ws.tidy()
-    lists = ws.save(J.postings(sets, table, num, den, leaders, "token long, print long, leader long"), "lists")
+    met = ws.save(J.postings(sets, table, num, den, as_rows, "token long, print long, size int"), "met")
     ws.tidy()
+    # a set that meets others in too few lists is like none of them
+    enough = J.lists_needed(F.col("n"), num, den)
+    able = met.groupBy("print").agg(F.count(F.lit(1)).alias("c"), F.max("size").alias("n")).where(F.col("c") >= enough)
+    lists = ws.save(met.join(able.select("print"), "print", "left_semi"), "lists")
 
     # 3. groups of similar documents
     candidates = lists.select("print").distinct()
-    chosen = J.gather(sets, reps.join(candidates, "print", "left_semi"), "sets")
+    chosen = J.gather(sets, reps.join(candidates, "print", "left_semi").select("print", "key"), "sets")
     ws.tidy()
-    meetings = lists.where("print <> leader").groupBy("print", "leader").agg(F.count(F.lit(1)).alias("c"))
-    stars = meetings.groupBy("print").agg(F.max_by("leader", F.struct("c", "leader")).alias("b")).withColumnRenamed("print", "a")
-    links = ws.save(J.verify(stars, chosen, num, den), "links")
-    ws.tidy()
-    classes = ws.save(connected_components(ws, links, "first"), "first-classes").withColumnRenamed("node", "print")
+    classes = ws.save(spark.createDataFrame([], "print long, component long"), "classes-none")
+    links = None
+    for round_ in range(ROUNDS):
+        placed = _placed(ws, lists, classes, f"placed-{round_}")
+        lead = placed.groupBy("token").agg(
+            F.max_by(F.struct("print", "component", "n"), F.struct("size", F.xxhash64("print", F.lit(round_)), "print")).alias("lead"),
+            F.min("component").alias("lo"),
+            F.max("component").alias("hi"),
+        )
+        lead = ws.save(lead.where("lo <> hi").select("token", "lead"), f"lead-{round_}")
+        tried = (
+            placed.join(lead, "token")
+            .where("component <> lead.component")
+            .groupBy("print", F.col("lead.print").alias("leader"), F.col("lead.component").alias("joins"))
+            .agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"), F.max("lead.n").alias("m"))
+            .where(F.col("c") >= J.meetings_needed(F.col("n"), F.col("m"), F.col("m"), num, den))
+            .groupBy(F.col("print").alias("a"))
+            .agg(F.max_by(F.struct(F.col("leader").alias("b"), "joins"), F.struct("c", "leader")).alias("to"))
+        )
+        tried = ws.save(tried.select("a", "to.b", "to.joins"), f"tried-{round_}")
+        new = ws.save(J.verify(tried.select("a", "b"), chosen, num, den), f"links-{round_}")
+        links = new if links is None else links.unionByName(new)
+        moved = new.join(tried, ["a", "b"]).select(F.col("a").alias("print"), F.col("joins").alias("component"))
+        stayed = classes.join(moved.select("print"), "print", "left_anti")
+        joined = ws.save(moved.unionByName(stayed), f"joined-{round_}")
+        # a leader that stays where it is counts as a member of its class
+        heads_ = joined.select(F.col("component").alias("print")).distinct().join(joined.select("print"), "print", "left_anti")
+        classes = ws.save(joined.unionByName(heads_.select("print", F.col("print").alias("component"))), f"classes-{round_}")
+        ws.tidy()
 
     # 4. the token-group matrix of what is left, and the groups it opens
-    placed = lists.select("token", "print").join(classes, "print", "left")
-    placed = placed.withColumn("component", F.coalesce("component", "print"))
+    placed = _placed(ws, lists, classes, "placed")
     mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
     sizes = classes.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     left = ws.save(
-        placed.join(mixed, "token", "left_semi")
-        .join(sizes, "component", "left")
-        .withColumn("size", F.coalesce("size", F.lit(1)))
-        .withColumn("chunk", F.pmod(F.xxhash64("print"), F.ceil(F.col("size") / GROUP)).cast("int")),
+        placed.join(mixed, "token", "left_semi").withColumn("chunk", F.pmod(F.xxhash64("print"), F.ceil(F.col("size") / GROUP)).cast("int")),
         "left",
     )
-    cells = left.select("token", F.col("component").alias("group"), F.col("size").alias("g_size"), "chunk").distinct()
+    cells = left.groupBy("token", F.col("component").alias("group"), F.col("size").alias("g_size"), "chunk").agg(
+        F.min("n").alias("g_min"), F.max("n").alias("g_max")
+    )
     asks = (
-        left.select("token", "print", "component", "size")
+        left.select("token", "print", "n", "component", "size")
         .join(cells, "token")
         .where("component <> `group` and (size < g_size or (size = g_size and component < `group`))")
+        .groupBy("print", "group", "chunk")
+        .agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"), F.min("g_min").alias("lo"), F.max("g_max").alias("hi"))
+        .where(F.col("c") >= J.meetings_needed(F.col("n"), F.col("lo"), F.col("hi"), num, den))
         .select("print", "group", "chunk")
-        .distinct()
     )
-    asks = ws.save(asks.withColumn("salt", F.lit(0)), "asks")
+    asks = ws.save(asks, "asks")
     waiting = asks.groupBy("group", "chunk").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("salts"))
     waiting = ws.save(waiting, "waiting")
     asked = (
-        asks.drop("salt")
-        .join(waiting, ["group", "chunk"])
+        asks.join(waiting, ["group", "chunk"])
         .withColumn("salt", F.pmod(F.xxhash64("print"), F.col("salts")).cast("int"))
         .join(chosen, "print")
         .select("group", "chunk", "salt", "print", "tokens")
@@ -152,7 +187,7 @@ def near_duplicate_classes(docs: DataFrame, num: int = NUM, den: int = DEN) -> D
     )
     keys = ["group", "chunk", "salt"]
     more = asked.groupBy(*keys).cogroup(opened.groupBy(*keys)).applyInPandas(lambda q, m: open_groups(q, m, num, den), "a long, b long")
-    found = ws.save(classes.select(F.col("print").alias("a"), F.col("component").alias("b")).unionByName(more), "found")
+    found = ws.save(links.unionByName(more), "found")
     ws.tidy()
 
     # 5. classes, named by their smallest document
@@ -160,7 +195,7 @@ def near_duplicate_classes(docs: DataFrame, num: int = NUM, den: int = DEN) -> D
     named = ws.save(reps.join(final, "print", "left").withColumn("component", F.coalesce("component", "print")), "named")
     heads = named.groupBy("component").agg(F.min("doc").alias("head"))
     heads = ws.save(named.join(heads, "component").select(F.col("print").alias("p"), "head"), "heads")
-    ws.drop("sets", "lists", "left")
+    ws.drop("sets", "met", "lists", "left")
     doc = F.when(~nobody, F.col("key"))
     return profiles.join(heads, F.col("print") == F.col("p"), "left").select(
         doc.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("head")).otherwise(doc).alias("component_id")

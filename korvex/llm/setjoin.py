@@ -26,7 +26,7 @@ FLUSH_TOKENS = 3_000_000
 #: count as the commonest of them; any function of the token is a valid order, so this costs time only.
 RARITY_BITS = 25
 #: Up to so many sets may hold a token of class 0.
-RARE = 32
+RARE = 2
 CANDIDATE_BITS = 27
 
 Units = Callable[[np.ndarray, pa.Array], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]
@@ -56,6 +56,18 @@ def linked(common, a, b, num: int, den: int):
     return common * den >= num * (a + b - common)
 
 
+def meetings_needed(x: F.Column, low: F.Column, high: F.Column, num: int, den: int) -> F.Column:
+    """Lists that a set of size x shares with any set like it of size low .. high (null if none can be like it).
+
+    The one whose prefix ends first has at most its rest of about n (num/den - 1/STEP) tokens behind it, so the overlap
+    that the sizes demand, less the larger rest, lies in both prefixes. The bound is lowest at an end of the range.
+    """
+    low, high = F.greatest(low, F.ceil(x * num / den)), F.least(high, F.floor(x * den / num))
+    least = lambda y: (x + y) * (num / (num + den)) - F.greatest(x, y) * (num / den - 1 / STEP) - 1
+    tight = F.ceil(F.least(least(low), least(high)) - 1e-9)
+    return F.when(low <= high, F.greatest(tight, 1 + F.floor(F.least(x, low) / STEP)))
+
+
 @dataclass
 class Sets:
     """Texts to scan: ``rows`` has the columns id (long) and text (no nulls); ``units`` makes (keys, tokens, counts) of
@@ -79,7 +91,8 @@ class Sets:
                 for b in batches:
                     ids = b.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
                     for keys, tokens, counts in units(ids, b.column(1)):
-                        yield keys, tokens, counts, K.set_prints(tokens, counts)
+                        if len(counts):
+                            yield keys, tokens, counts, K.set_prints(tokens, counts)
 
             yield from each(slices())
 
