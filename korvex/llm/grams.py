@@ -106,7 +106,8 @@ def near_duplicate_classes(docs: DataFrame, num: int = NUM, den: int = DEN) -> D
     table = J.rarity_table(sets)
     ws.tidy()
     met = ws.save(J.postings(sets, table, num, den, as_rows, "token long, print long, size int"), "met")
-    ws.tidy()
+    del table
+    sets.release()
     # a set that meets others in too few lists is like none of them
     enough = J.lists_needed(F.col("n"), num, den)
     able = met.groupBy("print").agg(F.count(F.lit(1)).alias("c"), F.max("size").alias("n")).where(F.col("c") >= enough)

@@ -100,7 +100,8 @@ def repeated_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame
     carry = [(np.int64, lambda keys: keys[:, 0]), (np.int32, lambda keys: keys[:, 1])]
     schema = "token long, print long, doc long, line int, size int, at int, leader long, near boolean"
     met = ws.save(J.postings(sets, table, num, den, earliest(num, den), schema, carry), "met")
-    ws.tidy()
+    del table
+    sets.release()
     # a line that meets others in too few lists is like none of them
     enough = J.lists_needed(F.col("n"), num, den)
     able = met.groupBy("print").agg(F.count(F.lit(1)).alias("c"), F.max("size").alias("n")).where(F.col("c") >= enough)

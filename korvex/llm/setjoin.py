@@ -9,7 +9,7 @@ of the token space. Parts are as many as keep about ``PART_TOKENS`` entries in e
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -77,6 +77,18 @@ class Sets:
     rows: DataFrame
     units: Units
     tokens: int = 0
+    held: list = field(default_factory=list)
+
+    def share(self, value: np.ndarray):
+        """A broadcast that lasts until :meth:`release`."""
+        self.held.append(self.ws.spark.sparkContext.broadcast(value))
+        return self.held[-1]
+
+    def release(self) -> None:
+        """Give up what was broadcast; the steps that read it must have been written."""
+        while self.held:
+            self.held.pop().destroy()
+        self.ws.tidy()
 
     @property
     def part_bits(self) -> int:
@@ -200,7 +212,7 @@ def postings(
     together only make a candidate more.
     """
     bits = sets.part_bits
-    shared = sets.ws.spark.sparkContext.broadcast(table)
+    shared = sets.share(table)
     names = ["tokens", "prints", "sizes", "positions", *[f"c{i}" for i in range(len(carry))]]
     types = [np.uint32, np.uint64, np.uint16, np.uint16, *[t for t, _ in carry]]
 
@@ -275,7 +287,7 @@ def gather(sets: Sets, chosen: DataFrame, name: str) -> DataFrame:
     width = 1 << (bits - parts - 3)
     for part, flags in slots.groupBy("part").applyInPandas(union, "part int, flags binary").toLocalIterator():
         bitmap[part * width : (part + 1) * width] = np.frombuffer(flags, np.uint8)
-    shared = sets.ws.spark.sparkContext.broadcast(bitmap)
+    shared = sets.share(bitmap)
 
     def each(slices):
         for keys, tokens, counts, prints in slices:
@@ -285,7 +297,9 @@ def gather(sets: Sets, chosen: DataFrame, name: str) -> DataFrame:
             rows = [tokens[ends[u] - counts[u] : ends[u]].tobytes() for u in np.flatnonzero(keep).tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(signed(prints[keep])), pa.array(rows, pa.binary())], ["print", "tokens"])
 
-    return sets.ws.save(sets.scan(each, "print long, tokens binary"), name)
+    out = sets.ws.save(sets.scan(each, "print long, tokens binary"), name)
+    sets.release()
+    return out
 
 
 def verify(pairs: DataFrame, table: DataFrame, num: int, den: int) -> DataFrame:
