@@ -1,8 +1,9 @@
 """Removing lines that an earlier line of the corpus resembles: an exact set-similarity join over lines.
 
-A line is what stands between line feeds; its tokens are its distinct 5-word shingles (words are folded A-Z). Lines of
-fewer than five words have none and always stay. Lines are ordered by (doc_id, place in the document). A line goes if
-any earlier line has Jaccard 0.75 or more with it.
+A line is what stands between line feeds; its tokens are its distinct 5-word shingles (words are folded A-Z). A line of
+one to four words has its whole sequence as its one token, so only equal lines are like it; lines without words always
+stay. Lines are ordered by (doc_id, place in the document). A line goes if any earlier line has Jaccard 0.75 or more
+with it.
 
 1. Lines of equal sets collapse to the earliest; all others of them go.
 2. Tokens are ordered by rarity over all lines. Every distinct line posts its prefix with its size and the position of
@@ -36,7 +37,7 @@ _LAST = np.iinfo(np.int64).max
 
 
 def line_units(ids: np.ndarray, text: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Units of lines with at least five words; keys are rows (doc, line)."""
+    """Units of lines with words; keys are rows (doc, line)."""
     raw, offsets = K.buffers(text)
     for i, j in K.slices(offsets):
         part = raw[offsets[i] : offsets[j]]
@@ -48,9 +49,9 @@ def line_units(ids: np.ndarray, text: pa.Array) -> Iterator[tuple[np.ndarray, np
         place = np.arange(len(owner)) - np.searchsorted(owner, owner)
         words = np.diff(np.append(np.searchsorted(starts, bounds), len(starts))).astype(np.int64)
         hashes = K.span_hashes(part, starts, ends, lower=True)
-        full = words >= K.SHINGLE
-        tokens, counts = K.shingle_sets(hashes[np.repeat(full, words)], words[full])
-        yield np.column_stack([ids[i:j][owner[full]], place[full]]), tokens, counts
+        worded = words > 0
+        tokens, counts = K.shingle_sets(hashes, words[worded])
+        yield np.column_stack([ids[i:j][owner[worded]], place[worded]]), tokens, counts
 
 
 def filtered(size_x, at_x, size_y, at_y, num: int, den: int):
