@@ -208,8 +208,9 @@ def postings(
     Only lists of two or more sets get there, sorted by token. ``carry`` adds columns: their type, and how they come
     from a unit's keys; of equal sets, the one with the least carried values is taken.
 
-    Equal sets post once a task or so and are seen once in all. Tokens are cut to part and 32 bits: two that fall
-    together only make a candidate more.
+    Equal sets post once a task or so, and again when a task meets one with less carried values, whatever the order of
+    its rows; they are seen once in all. Tokens are cut to part and 32 bits: two that fall together only make a
+    candidate more.
     """
     bits = sets.part_bits
     shared = sets.share(table)
@@ -224,12 +225,17 @@ def postings(
             parts, chunks = split_by_part(tokens, bits, within_part(tokens, bits), *[c[order] for c in columns])
             return binary_rows(parts, chunks, names)
 
-        held, size, seen = [], 0, set()
+        held, size, least = [], 0, {}
         for keys, tokens, counts, prints in slices:
-            new = np.array([p not in seen and not seen.add(p) for p in prints.tolist()], bool)
+            carried = [fn(keys).astype(t) for t, fn in carry]
+            places = zip(*[c.tolist() for c in carried], strict=True) if carry else [()] * len(prints)
+            new = np.zeros(len(prints), bool)
+            for i, (p, place) in enumerate(zip(prints.tolist(), places, strict=True)):
+                if p not in least or place < least[p]:
+                    least[p], new[i] = place, True
             mine, owner, position = ordered_prefixes(tokens[np.repeat(new, counts)], counts[new], shared.value, num, den)
             sizes = np.minimum(counts[new], 65535).astype(np.uint16)
-            more = [fn(keys[new]).astype(t)[owner] for t, fn in carry]
+            more = [c[new][owner] for c in carried]
             held.append((mine, prints[new][owner], sizes[owner], np.minimum(position, 65535).astype(np.uint16), *more))
             size += len(mine)
             if size >= FLUSH_TOKENS // 2:

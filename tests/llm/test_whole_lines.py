@@ -44,3 +44,11 @@ def test_short_lines_of_documents(spark, sf, duck):
     short = [x for _, t in rows for x in (t or "").split("\n") if 0 < len(re.findall(r"[^\x20\x09-\x0D]+", x)) < 5]
     assert len(short) > len({shingles(x) for x in short})
     assert {d: t or "" for d, t in texts(lines.drop_repeated_lines(docs)).items()} == whole_lines(rows)
+
+
+def test_earliest_line_in_any_order_of_rows(make_docs):
+    a, b = (" ".join(f"w{i}" for i in range(40)) + x for x in (" end", " and more"))
+    rows = [(50, a, "s"), (1, a, "s"), (20, b, "s"), (60, b, "s"), (0, "other words that stand alone here", "s")]
+    for order in (rows, rows[::-1], sorted(rows), sorted(rows, reverse=True)):
+        got = texts(lines.drop_repeated_lines(make_docs(order).coalesce(1)))
+        assert got == {0: rows[4][1], 1: a, 20: "", 50: "", 60: ""} == whole_lines(sorted((d, t) for d, t, _ in rows))
