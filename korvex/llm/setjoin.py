@@ -215,7 +215,7 @@ def postings(
     bits = sets.part_bits
     shared = sets.share(table)
     names = ["tokens", "prints", "sizes", "positions", *[f"c{i}" for i in range(len(carry))]]
-    types = [np.uint32, np.uint64, np.uint16, np.uint16, *[t for t, _ in carry]]
+    types = [np.uint32, np.uint64, np.uint32, np.uint32, *[t for t, _ in carry]]
 
     def each(slices):
         def flush(held):
@@ -234,9 +234,9 @@ def postings(
                 if p not in least or place < least[p]:
                     least[p], new[i] = place, True
             mine, owner, position = ordered_prefixes(tokens[np.repeat(new, counts)], counts[new], shared.value, num, den)
-            sizes = np.minimum(counts[new], 65535).astype(np.uint16)
+            sizes = counts[new].astype(np.uint32)
             more = [c[new][owner] for c in carried]
-            held.append((mine, prints[new][owner], sizes[owner], np.minimum(position, 65535).astype(np.uint16), *more))
+            held.append((mine, prints[new][owner], sizes[owner], position.astype(np.uint32), *more))
             size += len(mine)
             if size >= FLUSH_TOKENS // 2:
                 yield flush(held)
