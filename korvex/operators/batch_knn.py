@@ -30,18 +30,38 @@ def score_matrix(metric: str, x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(squares, 0))
 
 
+def _exact(metric: str, x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Distances of rows to one query, each from its row alone, so equal vectors have equal distances."""
+    if metric == "l2":
+        return np.sqrt(((x - q) ** 2).sum(axis=1))
+    dots = (x * q).sum(axis=1)
+    if metric == "ip":
+        return -dots
+    both = np.sqrt((q * q).sum()) * np.sqrt((x * x).sum(axis=1))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(both == 0, 2.0, 1 - dots / both)
+
+
 def _nearest(metric: str, x: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, ids and distances of the k nearest of each query by (distance, id). Whatever the matrix form does not put
+    beyond the k-th by more than its rounding is scored again, however many rows that are."""
     d = score_matrix(metric, x, q)
-    # the matrix form of L2 loses digits near 0, so a margin of candidates is scored again
-    width = min(len(ids), k + 16)
-    near = np.argpartition(d, width - 1, axis=1)[:, :width] if width < len(ids) else np.tile(np.arange(len(ids)), (len(q), 1))
     if metric == "l2":
-        exact = np.sqrt(((x[near] - q[:, None, :]) ** 2).sum(axis=2))
-    else:
-        exact = np.take_along_axis(d, near, axis=1)
-    order = np.lexsort((ids[near], exact), axis=1)[:, :k]
-    rows = np.repeat(np.arange(len(q)), order.shape[1])
-    return rows, np.take_along_axis(ids[near], order, axis=1).ravel(), np.take_along_axis(exact, order, axis=1).ravel()
+        d *= d  # the root loses digits near 0
+    unit = 8 * (x.shape[1] + 8) * np.finfo(float).eps
+    with np.errstate(invalid="ignore", over="ignore"):
+        far, norms = (x * x).sum(axis=1).max(initial=0), (q * q).sum(axis=1)
+        margin = unit * (np.ones(len(q)) if metric == "cosine" else norms + far)
+    cut = np.partition(d, k - 1, axis=1)[:, k - 1] if k < len(ids) else np.full(len(q), np.inf)
+    rows, near, found = [], [], []
+    for i in range(len(q)):
+        keep = np.flatnonzero(~(d[i] > cut[i] + margin[i]))
+        exact = _exact(metric, x[keep], q[i])
+        order = np.lexsort((ids[keep], exact))[:k]
+        rows.append(np.full(len(order), i))
+        near.append(ids[keep][order])
+        found.append(exact[order])
+    return np.concatenate(rows), np.concatenate(near), np.concatenate(found)
 
 
 def batch_knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
