@@ -20,6 +20,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -202,11 +203,12 @@ def _bare_gap(own) -> bool:
 _NEVER_WITHIN = frozenset(",;:!?\"'|<>=*&#$%{}")
 
 
-def lattice(tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def lattice(tokens, first: int = 0, last: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Candidate segments: starts, ends, and their features as a matrix. A segment begins and ends at a token that is
-    a letter run or a digit run; a plus or an opening bracket before digits may begin one."""
+    a letter run or a digit run; a plus or an opening bracket before digits may begin one. Only segments that begin at
+    tokens first .. last - 1 are made."""
     starts, ends, rows = [], [], []
-    for i in range(len(tokens)):
+    for i in range(first, len(tokens) if last is None else min(last, len(tokens))):
         opens = tokens[i][0] in "+(" and i + 1 < len(tokens) and (tokens[i + 1][0].isdigit() or tokens[i + 1][0] == "+")
         if not (tokens[i][0][0].isalnum() or opens):
             continue
@@ -355,17 +357,34 @@ def trained_weights(sentences: int = 300, epochs: int = 10, rate: float = 0.5, d
     return w
 
 
-#: Where the field looks: runs of digits and signs of at least seven digits, and written-out or spaced addresses.
-_DIGIT_RUN = re.compile(r"(?<![0-9])[+(]?[0-9](?:[\x20()./\[\]-]{0,3}[0-9]){6,}+")
+#: Where the field looks: wherever a segment can hold four digits, and at written-out or spaced addresses.
+_DIGIT_TOKEN = re.compile(r"[0-9]+|[\d\u00b2\u00b3\u00b9\u2070-\u2079\u2080-\u2089]")
+_BREAK = re.compile("[" + re.escape("".join(sorted(_NEVER_WITHIN))) + "]")
 _WRITTEN = re.compile(r"@|[\[(]\s?at\s?[\])]|\b(?:at|arroba)\b(?=\s+\w+\s*(?:dot|punto|\.|[\[(]\s?dot)\b)", re.IGNORECASE)
-_RATHER_DIGITS = re.compile(r"[0-9]")
+
+
+def digit_spots(text: str) -> list[tuple[int, int]]:
+    """From each digit run to the last one that a segment from there can reach, if they hold four digits or more."""
+    runs = [(m.start(), m.end()) for m in _DIGIT_TOKEN.finditer(text)]
+    steps = []  # tokens from a run to the next, too many if no segment holds both
+    for (_, a), (b, _) in zip(runs, runs[1:], strict=False):
+        apart = _BREAK.search(text, a, b) is not None
+        steps.append(MAX_TOKENS if apart else 1 + sum(1 for _ in islice(_TOKEN.finditer(text, a, b), MAX_TOKENS)))
+    out = []
+    for i, (start, end) in enumerate(runs):
+        digits, used, j = end - start, 1, i
+        while j < len(steps) and used + steps[j] <= MAX_TOKENS:
+            used += steps[j]
+            j += 1
+            digits += runs[j][1] - runs[j][0]
+        if digits >= 4:
+            out.append((start, runs[j][1]))
+    return out
 
 
 def windows(text: str) -> list[tuple[int, int]]:
     """Disjoint stretches of the text that the field decodes, cut at white space."""
-    spots = []
-    if _RATHER_DIGITS.search(text):
-        spots += [(m.start(), m.end()) for m in _DIGIT_RUN.finditer(text)]
+    spots = digit_spots(text)
     if "@" in text or "at" in text.lower() or "arroba" in text.lower():
         spots += [(m.start(), m.end()) for m in _WRITTEN.finditer(text)]
     out: list[list[int]] = []
@@ -383,21 +402,23 @@ def windows(text: str) -> list[tuple[int, int]]:
 
 
 def added_spans(text: str, base: list[Span], weights: np.ndarray, margin: float = 1.0) -> list[Span]:
-    """Spans that the field finds beside the base ones. Long windows are decoded ``MAX_WINDOW`` tokens at a time."""
+    """Spans that the field finds beside the base ones. A window is decoded as a whole; its lattice is scored
+    ``MAX_WINDOW`` beginnings at a time, so features of long windows are not held at once."""
     out: list[Span] = []
     taken = sorted((a, b) for _, a, b in base)
     for a, b in windows(text):
         tokens = tokens_of(text, a, b)
+        parts = []
         for k in range(0, len(tokens), MAX_WINDOW):
-            part = tokens[k : k + MAX_WINDOW]
-            starts, ends, x = lattice(part)
-            if not len(starts):
-                continue
-            scores = x @ weights - margin
-            for s, kind in decode(len(part), starts, ends, scores):
-                span = (part[starts[s]][1], part[ends[s] - 1][2])
-                if not any(p < span[1] and span[0] < q for p, q in taken):
-                    out.append((kind, *span))
+            starts, ends, x = lattice(tokens, k, k + MAX_WINDOW)
+            parts.append((starts, ends, x @ weights - margin))
+        if not parts:
+            continue
+        starts, ends, scores = (np.concatenate(p) for p in zip(*parts, strict=True))
+        for s, kind in decode(len(tokens), starts, ends, scores):
+            span = (tokens[starts[s]][1], tokens[ends[s] - 1][2])
+            if not any(p < span[1] and span[0] < q for p, q in taken):
+                out.append((kind, *span))
     return out
 
 
