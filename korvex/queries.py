@@ -429,6 +429,12 @@ def string_keys(spark, d):
     return assign_ids(c.where("c_custkey <= 50").select(F.col("c_name").alias("key")), known)
 
 
+@_register("string_keys_all", "SELECT c_name AS key, CAST(c_custkey AS BIGINT) AS id FROM customer")
+def string_keys_all(spark, d):
+    known = _t(spark, d, "customer").select(F.col("c_name").alias("key"), F.col("c_custkey").alias("id"))
+    return assign_ids(known.select("key"), known)
+
+
 @_register(
     "string_keys_new",
     "SELECT count(*) AS n, count(DISTINCT c_name) AS ids, CAST(50 + count(*) AS BIGINT) AS last FROM customer WHERE c_custkey > 50",
