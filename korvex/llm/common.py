@@ -154,9 +154,10 @@ def write_bytes(uri: str, data: bytes) -> None:
     fs.move(attempt, path)
 
 
-def read_bytes(uri: str) -> bytes:
+def read_bytes(uri: str, most: int | None = None) -> bytes:
+    """A file, or its first ``most`` bytes."""
     from pyarrow import fs as pafs
 
     fs, path = pafs.FileSystem.from_uri(uri)
     with fs.open_input_stream(path, compression=None) as f:
-        return f.read()
+        return f.read(most)

@@ -1,19 +1,26 @@
 """Token ids as compressed binary files: an adaptive context-mixing range coder in independent blocks.
 
-A file holds ids in order, cut into blocks of ``BLOCK`` ids. Each block starts from fresh models, is coded by itself and
-carries a CRC-32, so any block decodes alone. Inside a block every id is predicted three ways:
+A file holds documents: their ids one after another, and a table of doc_ids and lengths. Ids are cut into blocks of
+``BLOCK``. Each block starts from fresh models, is coded by itself and carries a CRC-32, so any block decodes alone.
 
-* order 2: the id that last followed the two ids before, with a count of how often it was right,
-* order 1: the id that last followed the id before, with its count,
-* order 0: frequencies of the ids' magnitudes (bit lengths).
+A block is cut into up to ``LANES`` runs of equal length, coded in lockstep: step t codes the t-th id of every run, each
+with a range coder of its own but all with the same models, which take in all ids of a step before the next. So a step
+is a few array operations, and the models learn from the whole block. An id x is predicted by a mixture
 
-An adaptive binary estimate for each confidence and a confidence-free one are mixed by a weight that learns which was
-closer; the mixed estimates split the coder's range into "order 2 is right", "order 1 is right" and an escape, and an
-escape is coded by its magnitude's frequency and its low bits. All arithmetic is in integers, so files decode alike on
-any machine. Blocks of a file are coded in lockstep, one numpy lane each; lanes never share state.
+    P(x) = w0 P0(x) + sum of w_k [x = c_k]
 
-Layout (little endian): magic ``KVXI``, u32 version, u32 blocks, u64 ids; for each block u32 ids, u32 coded 16-bit words,
-u32 CRC-32 of its ids as u32; then the words of all blocks in order.
+* P0, order 0: the ids' frequencies so far, brought up to date at the steps of :func:`_due_for_counts`,
+* c_k, order 1: the two ids that followed the id before most reliably, each with a confidence of 0 to 15,
+* c_k, order 2: the same after the two ids before (a hashed context).
+
+The weights depend on the candidates' confidences and are learnt: each candidate, and order 0, is credited with its share
+of the probability of the id that came. An id's interval is its place in the order of ids under the whole mixture, so
+candidates that agree with each other or with order 0 add up. All arithmetic is in integers, so files decode alike on any
+machine.
+
+Layout (little endian): magic ``KVXI``, u32 version, u32 blocks, u64 ids, u64 documents, u32 length and u32 CRC-32 of the
+document table (zlib: a bit per document that has an id, doc_ids as i64, lengths as u32); for each block u32 ids, u32
+alphabet, u32 lanes, u32 CRC-32 of its ids as u32, u16 coded words of each lane, and the 16-bit words of all lanes.
 """
 
 from __future__ import annotations
@@ -32,91 +39,139 @@ from pyspark.sql.window import Window
 from .common import Workspace, partitions, read_bytes, text_or_empty, write_bytes
 from .tokens import encoder
 
-MAGIC, VERSION = b"KVXI", 1
-BLOCK = 4096
+MAGIC, VERSION = b"KVXI", 2
+BLOCK = 1 << 22
+LANES = 8192
+#: Ids of a lane, where a block is too short to fill all lanes.
+RUN = 512
 FILE_IDS = 8_000_000
-H2, H1 = 1 << 11, 1 << 10
-CONFIDENCE = 15
-CLASSES = 18
+#: Bits of the scales of order 0 and of the weights, and of the hashed contexts of order 2.
+BITS0, BITS_W, BITS2 = 20, 10, 20
+CANDIDATES = 4
+_LEVEL = np.array([0, 1, 2, 2, 3, 3, 3, 4, 4, 4, 4, 4, 5, 5, 5, 5], np.int32)
+_STATES = 6 * 6 * 2 * 3 * 3
 _U = np.uint64
-_TOP, _BOTTOM, _SAME, _MASK = _U(40), _U(1 << 26), _U(1 << 40), _U((1 << 56) - 1)
+_SHIFT = _U(BITS0 + BITS_W)
+_TOP, _BOTTOM, _SAME, _MASK = _U(40), _U(1 << 34), _U(1 << 40), _U((1 << 56) - 1)
+_HEAD, _BLOCK_HEAD = "<4sIIQQII", "<IIII"
+HEAD_BYTES, BLOCK_HEAD_BYTES = struct.calcsize(_HEAD), struct.calcsize(_BLOCK_HEAD)
 
 
-class _Models:
-    """The models of all lanes; ``n`` lanes, each with tables of its own. A table slot is id << 4 | confidence."""
+def _due_for_counts(step: int) -> bool:
+    return step < 16 and step & (step - 1) == 0 or step % 16 == 0
 
-    def __init__(self, n: int):
-        self.lane = np.arange(n, dtype=np.int32)
-        self.base2, self.base1 = self.lane * H2, self.lane * H1
-        self.slots2, self.slots1 = np.zeros(n * H2, np.int32), np.zeros(n * H1, np.int32)
-        wide = CONFIDENCE + 1
-        self.t2 = np.tile(2000 + np.arange(wide, dtype=np.int32) * 4000, n)
-        self.t1 = np.tile(2000 + np.arange(wide, dtype=np.int32) * 3000, n)
-        self.baset, self.basef = self.lane * wide, self.lane * CLASSES
-        self.g2, self.g1 = np.full(n, 16384, np.int32), np.full(n, 16384, np.int32)
-        self.w2, self.w1 = np.full(n, 48, np.int32), np.full(n, 48, np.int32)
-        self.freq = np.full((n, CLASSES), 4, np.int32)
-        self.total = np.full(n, 4 * CLASSES, np.int32)
-        self.last, self.mixed = np.zeros(n, np.int32), np.zeros(n, np.int32)
-        self.age = 0
-
-    def predict(self) -> None:
-        """id2, id1 and the shares f2, f1 of 65536; f1 is 0 where both orders name one id."""
-        self.s2 = self.base2 + ((self.last * 2503 + self.mixed) & (H2 - 1))
-        self.s1 = self.base1 + ((self.last * 2503 + (self.last >> 7)) & (H1 - 1))
-        slot2, slot1 = self.slots2.take(self.s2), self.slots1.take(self.s1)
-        self.id2, self.id1 = slot2 >> 4, slot1 >> 4
-        self.k2, self.k1 = slot2 & CONFIDENCE, slot1 & CONFIDENCE
-        self.i2, self.i1 = self.baset + self.k2, self.baset + self.k1
-        self.a2, self.a1 = self.t2.take(self.i2), self.t1.take(self.i1)
-        self.f2 = ((self.a2 - self.g2) * self.w2 >> 6) + self.g2
-        m1 = ((self.a1 - self.g1) * self.w1 >> 6) + self.g1
-        np.clip(self.f2, 32, 65536 - 2048, out=self.f2)
-        rest = 65536 - self.f2
-        self.differ = self.id1 != self.id2
-        self.f1 = rest * (m1 >> 1) >> 15
-        np.minimum(self.f1, rest - 1024, out=self.f1)
-        np.maximum(self.f1, 16, out=self.f1)
-        self.f1 *= self.differ
-
-    def learn(self, ids: np.ndarray, hit2: np.ndarray, escape: np.ndarray, magnitude: np.ndarray) -> None:
-        goal = hit2 * np.int32(65535)
-        e2, eg = goal - self.a2, goal - self.g2
-        near = (np.abs(e2) < np.abs(eg)).view(np.int8)
-        self.w2 += near + near - np.int8(1)
-        np.clip(self.w2, 4, 60, out=self.w2)
-        self.t2[self.i2] = self.a2 + (e2 >> 4)
-        self.g2 += eg >> 5
-        right = self.id1 == ids
-        asked = self.differ & ~hit2
-        goal = right * np.int32(65535)
-        e1, eg = (goal - self.a1) * asked, (goal - self.g1) * asked
-        near = (np.abs(e1) < np.abs(eg)).view(np.int8)
-        self.w1 += (near + near - np.int8(1)) * asked
-        np.clip(self.w1, 4, 60, out=self.w1)
-        self.t1[self.i1] = self.a1 + (e1 >> 4)
-        self.g1 += eg >> 5
-        named = ids << 4
-        self.slots2[self.s2] = named + np.minimum((self.k2 + 1) * hit2, CONFIDENCE)
-        weaker = self.k1 >> 1
-        self.slots1[self.s1] = np.where(right, named + np.minimum(self.k1 + 1, CONFIDENCE), np.where(self.k1 < 2, named, (self.id1 << 4) + weaker))
-        self.freq.reshape(-1)[self.basef + magnitude] += escape * np.int32(24)
-        self.total += escape * np.int32(24)
-        self.age += 1
-        if self.age % 64 == 0:
-            over = np.flatnonzero(self.total > 8192 - 64 * 24)
-            if len(over):
-                self.freq[over] = (self.freq[over] + 1) >> 1
-                self.total[over] = self.freq[over].sum(axis=1, dtype=np.int32)
-        self.mixed = self.last * 1327
-        self.last = ids
 
+def _scaled(weights: np.ndarray) -> np.ndarray:
+    return weights.astype(np.int64) << BITS0
 
-def _magnitudes(ids: np.ndarray) -> np.ndarray:
-    return _BIT_LENGTH.take(ids)
 
+class _Models:
+    """The models of a block of ids below ``alphabet``; a slot of a context is id << 4 | confidence."""
+
+    def __init__(self, alphabet: int, lanes: int, decodes: bool):
+        self.alphabet, self.decodes = alphabet, decodes
+        #: both slots of a context in one number, the first in its low half
+        self.slots = [np.zeros(1 << BITS2, np.int64), np.zeros(alphabet, np.int64)]
+        self.credit = np.full((CANDIDATES + 1, _STATES), 16, np.int64)
+        self.seen, self.waiting = np.zeros(alphabet, np.int64), []
+        self.before, self.last = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
+        self.step = 0
+        self._count()
+        self._weigh()
+
+    def _count(self) -> None:
+        if self.waiting:
+            self.seen += np.bincount(np.concatenate(self.waiting), minlength=self.alphabet)
+            self.waiting = []
+        whole = (1 << BITS0) - self.alphabet
+        share = 1 + self.seen * whole // max(1, int(self.seen.sum()))
+        share[np.argmax(self.seen)] += (1 << BITS0) - int(share.sum())
+        self.share0 = share
+        self.start0 = np.cumsum(share) - share
+        if self.decodes:
+            self.id_at = np.repeat(np.arange(self.alphabet, dtype=np.int32), share)
+
+    def _weigh(self) -> None:
+        out = 1 + self.credit * ((1 << BITS_W) - CANDIDATES - 1) // self.credit.sum(axis=0)
+        out[CANDIDATES] = (1 << BITS_W) - out[:CANDIDATES].sum(axis=0)
+        self.weights = out.astype(np.int32)
 
-_BIT_LENGTH = np.frexp(np.arange(1 << 17, dtype=np.float64))[1].astype(np.int32)
+    def predict(self) -> None:
+        """Candidates and their weights."""
+        mixed = self.last.view(np.uint32) * np.uint32(0x9E3779B1) + self.before.view(np.uint32) * np.uint32(0x85EBCA6B)
+        self.at = [(mixed >> np.uint32(32 - BITS2)).astype(np.int64), self.last.astype(np.int64)]
+        pairs = [s[i].view(np.int32) for s, i in zip(self.slots, self.at, strict=True)]
+        self.held = [np.ascontiguousarray(x) for p in pairs for x in (p[::2], p[1::2])]
+        self.ids = [h >> 4 for h in self.held]
+        level = [_LEVEL[h & 15] for h in self.held]
+        state = (level[0] * 6 + level[2]) * 2 + (self.ids[0] == self.ids[2])
+        self.state = ((state * 3 + np.minimum(level[1], 2)) * 3 + np.minimum(level[3], 2)).astype(np.int64)
+        self.w = [row[self.state] for row in self.weights]
+        self.w0 = self.w[CANDIDATES].astype(np.int64)
+
+    def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and width of ``ids`` in a range of 2**(BITS0 + BITS_W)."""
+        below, equal = np.zeros(len(ids), np.int32), np.zeros(len(ids), np.int32)
+        self.hits = [c == ids for c in self.ids]
+        for c, w, hit in zip(self.ids, self.w, self.hits, strict=False):
+            below += w * (c < ids)
+            equal += w * hit
+        self.width = self.w0 * self.share0[ids] + _scaled(equal)
+        return self.w0 * self.start0[ids] + _scaled(below), self.width
+
+    def find(self, value: np.ndarray) -> np.ndarray:
+        """The ids whose intervals hold ``value``."""
+        ids, under = self.ids, np.zeros(len(value), np.int32)
+        below = [np.zeros(len(value), np.int32) for _ in ids]
+        equal = [w.copy() for w in self.w[:CANDIDATES]]
+        for k in range(CANDIDATES):
+            for j in range(k):
+                less, same = ids[j] < ids[k], ids[j] == ids[k]
+                below[k] += self.w[j] * less
+                below[j] += self.w[k] * ~(less | same)
+                equal[k] += self.w[j] * same
+                equal[j] += self.w[k] * same
+        out = np.full(len(value), -1, np.int32)
+        for k in range(CANDIDATES):
+            start = self.w0 * self.start0[ids[k]] + _scaled(below[k])
+            end = start + self.w0 * self.share0[ids[k]] + _scaled(equal[k])
+            passed = end <= value
+            under += self.w[k] * passed
+            np.copyto(out, ids[k], where=(value >= start) & ~passed)
+        other = np.flatnonzero(out < 0)
+        out[other] = self.id_at[(value[other] - _scaled(under[other])) // self.w0[other]]
+        return out
+
+    def learn(self, ids: np.ndarray) -> None:
+        """Take in the ids of this step; :meth:`interval` was asked for them."""
+        if self.step < 64 or self.step % 8 == 0:
+            unit = (1 << 44) // self.width
+            parts = [np.bincount(self.state, ((w * unit) >> 14) * h, _STATES) for w, h in zip(self.w, self.hits, strict=False)]
+            zero = (self.w0 * self.share0[ids] * (unit >> 10)) >> 24
+            self.credit += np.array([*parts, np.bincount(self.state, zero, _STATES)]).astype(np.int64)
+            self._weigh()
+        named = ids << 4
+        for k in range(2):
+            a, b, hit_a, hit_b = self.held[2 * k], self.held[2 * k + 1], self.hits[2 * k], self.hits[2 * k + 1]
+            conf_a, conf_b = a & 15, b & 15
+            other = ~hit_a
+            first = (conf_a == 0) & other
+            swap = hit_b & (conf_b >= conf_a) & other
+            new = np.empty((len(ids), 2), np.int32)
+            kept = np.where(hit_b, b + (conf_b < 15), np.where(conf_b > 1, b - 1, named + 1))
+            np.copyto(kept, b, where=hit_a | first)
+            np.copyto(kept, a, where=swap)
+            new[:, 1] = kept
+            kept = a + np.where(hit_a, conf_a < 15, -(conf_a > 0).view(np.int8))
+            np.copyto(kept, named + 1, where=first)
+            np.copyto(kept, named + np.minimum(conf_b + 1, 15), where=swap)
+            new[:, 0] = kept
+            self.slots[k][self.at[k]] = new.view(np.int64)[:, 0]
+        self.waiting.append(ids)
+        self.before, self.last = self.last, ids
+        self.step += 1
+        if _due_for_counts(self.step):
+            self._count()
 
 
 class _Coder:
@@ -127,183 +182,163 @@ class _Coder:
         same = (self.low ^ (self.low + self.range)) < _SAME
         return np.flatnonzero(same | (self.range < _BOTTOM)), same
 
-    def narrow(self, step, cumulative, share) -> None:
-        self.low += step * cumulative
-        self.range = step * share
-
-
-class _Encoder(_Coder):
-    def __init__(self, n: int, words: int):
-        super().__init__(n)
-        self.out, self.at = np.zeros((n, words), np.uint16), np.zeros(n, np.int64)
+    def narrow(self, step, start, width) -> None:
+        self.low += step * start.astype(np.uint64)
+        self.range = step * width.astype(np.uint64)
 
     def settle(self) -> None:
+        """Shift words out of every lane until its range is wide again; where the range is narrow and the top bits still
+        differ, it is cut so that they agree."""
         while True:
             due, same = self._due()
             if not len(due):
                 return
             low, width = self.low[due], self.range[due]
             width = np.where(same[due], width, (_U(0) - low) & (_BOTTOM - _U(1)))
-            self.out[due, self.at[due]] = (low >> _TOP).astype(np.uint16)
-            self.at[due] += 1
+            self.shift(due, low)
             self.low[due] = (low << _U(16)) & _MASK
             self.range[due] = width << _U(16)
 
-    def finish(self) -> None:
-        for _ in range(4):
-            self.out[np.arange(len(self.low)), self.at] = (self.low >> _TOP).astype(np.uint16)
-            self.at += 1
-            self.low = (self.low << _U(16)) & _MASK
 
+class _Encoder(_Coder):
+    def __init__(self, n: int):
+        super().__init__(n)
+        self.out: list[tuple[np.ndarray, np.ndarray]] = []
 
-class _Decoder(_Coder):
-    def __init__(self, words: list[np.ndarray]):
-        super().__init__(len(words))
-        self.words = np.zeros((len(words), max(len(w) for w in words) + 8), np.uint16)
-        for k, w in enumerate(words):
-            self.words[k, : len(w)] = w
-        self.at = np.full(len(words), 4, np.int64)
-        # 56 bits are held: the first of four words lends its low half only
-        first = self.words[:, 0].astype(np.uint64)
-        self.code = ((first << _U(40)) | (self.words[:, 1].astype(np.uint64) << _U(24)) | (self.words[:, 2].astype(np.uint64) << _U(8)) | (self.words[:, 3].astype(np.uint64) >> _U(8)))
-        self.tail = self.words[:, 3].astype(np.uint64) & _U(0xFF)
-
-    def settle(self) -> None:
-        while True:
-            due, same = self._due()
-            if not len(due):
-                return
-            low, width = self.low[due], self.range[due]
-            width = np.where(same[due], width, (_U(0) - low) & (_BOTTOM - _U(1)))
-            word = self.words[due, self.at[due]].astype(np.uint64)
-            fed = (self.tail[due] << _U(8)) | (word >> _U(8))
-            self.tail[due] = word & _U(0xFF)
-            self.at[due] += 1
-            self.code[due] = ((self.code[due] << _U(16)) & _MASK) | fed
-            self.low[due] = (low << _U(16)) & _MASK
-            self.range[due] = width << _U(16)
-
+    def shift(self, due, low) -> None:
+        self.out.append((due.astype(np.uint16), (low >> _TOP).astype(np.uint16)))
 
-def _low_bits(magnitude: np.ndarray) -> np.ndarray:
-    return np.maximum(magnitude - 1, 0)
+    def finish(self) -> tuple[np.ndarray, np.ndarray]:
+        """(words of each lane, all words lane by lane). Two last words name a point within a lane's range."""
+        n = len(self.low)
+        point = (self.low + _U((1 << 24) - 1)) >> _U(24)
+        every = np.arange(n, dtype=np.uint16)
+        self.out += [(every, (point >> _U(16)).astype(np.uint16)), (every, (point & _U(0xFFFF)).astype(np.uint16))]
+        lanes, words = (np.concatenate(x) for x in zip(*self.out, strict=True))
+        return np.bincount(lanes, minlength=n), words[np.argsort(lanes, kind="stable")]
 
 
-def encode_blocks(blocks: np.ndarray) -> list[np.ndarray]:
-    """The coded words of each row of equally long blocks."""
-    n, size = blocks.shape
-    models, coder = _Models(n), _Encoder(n, 4 * size + 64)
-    columns = np.ascontiguousarray(blocks.T).astype(np.int32)
-    for ids in columns:
+class _Decoder(_Coder):
+    def __init__(self, counts: np.ndarray, words: np.ndarray):
+        super().__init__(len(counts))
+        self.words = np.append(words, np.uint16(0))
+        ends = np.cumsum(counts)
+        self.at, self.ends = ends - counts, ends
+        self.code = np.zeros(len(counts), np.uint64)
+        every = np.arange(len(counts))
+        for _ in range(3):
+            self.code = (self.code << _U(16)) | self._next(every)
+        # 56 bits are held: the last word lends its high half, the low half waits
+        word = self._next(every)
+        self.code = (self.code << _U(8)) | (word >> _U(8))
+        self.tail = word & _U(0xFF)
+
+    def _next(self, due) -> np.ndarray:
+        at = self.at[due]
+        self.at[due] = at + 1
+        return self.words[np.where(at < self.ends[due], at, len(self.words) - 1)].astype(np.uint64)
+
+    def shift(self, due, low) -> None:
+        word = self._next(due)
+        fed = (self.tail[due] << _U(8)) | (word >> _U(8))
+        self.tail[due] = word & _U(0xFF)
+        self.code[due] = ((self.code[due] << _U(16)) & _MASK) | fed
+
+
+def encode_block(ids: np.ndarray) -> bytes:
+    n = len(ids)
+    lanes = min(LANES, max(1, n // RUN))
+    steps, alphabet = -(-n // lanes), int(ids.max()) + 1
+    padded = np.zeros(lanes * steps, np.int32)
+    padded[:n] = ids
+    models, coder = _Models(alphabet, lanes, False), _Encoder(lanes)
+    for own in np.ascontiguousarray(padded.reshape(lanes, steps).T):
         models.predict()
-        hit2 = models.id2 == ids
-        hit1 = (models.id1 == ids) & ~hit2
-        escape = ~(hit2 | hit1)
-        both = models.f2 + models.f1
-        start = models.f2 * hit1 + both * escape
-        share = models.f2 * hit2 + models.f1 * hit1 + (65536 - both) * escape
-        coder.narrow(coder.range >> _U(16), start.astype(np.uint64), share.astype(np.uint64))
+        coder.narrow(coder.range >> _SHIFT, *models.interval(own))
         coder.settle()
-        magnitude = _magnitudes(ids)
-        out = np.flatnonzero(escape)
-        if len(out):
-            m = magnitude[out]
-            rows = models.freq[out]
-            own = rows[np.arange(len(out)), m].astype(np.uint64)
-            upto = rows.cumsum(axis=1)[np.arange(len(out)), m].astype(np.uint64)
-            step = coder.range[out] // models.total[out].astype(np.uint64)
-            coder.low[out] += step * (upto - own)
-            coder.range[out] = step * own
-            coder.settle()
-            bits = _low_bits(m).astype(np.uint64)
-            step = coder.range[out] >> bits
-            coder.low[out] += step * (ids[out].astype(np.uint64) & ((_U(1) << bits) - _U(1)))
-            coder.range[out] = step
-            coder.settle()
-        models.learn(ids, hit2, escape, magnitude)
-    coder.finish()
-    return [coder.out[k, : coder.at[k]].copy() for k in range(n)]
-
-
-def decode_blocks(words: list[np.ndarray], size: int) -> np.ndarray:
-    n = len(words)
-    models, coder = _Models(n), _Decoder(words)
-    out_ids = np.zeros((size, n), np.uint32)
-    for t in range(size):
+        models.learn(own)
+    counts, words = coder.finish()
+    head = struct.pack(_BLOCK_HEAD, n, alphabet, lanes, zlib.crc32(ids.astype("<u4").tobytes()))
+    return head + counts.astype("<u2").tobytes() + words.astype("<u2").tobytes()
+
+
+def decode_block(data: bytes, at: int) -> tuple[np.ndarray, int]:
+    """(ids of the block that starts at ``at``, where the next one starts); raises if its checksum fails."""
+    n, alphabet, lanes, crc = struct.unpack_from(_BLOCK_HEAD, data, at)
+    if not 0 < lanes <= LANES or not 0 < alphabet < 1 << (BITS0 - 1):
+        raise ValueError("not a block of token ids")
+    at += BLOCK_HEAD_BYTES
+    counts = np.frombuffer(data, "<u2", lanes, at).astype(np.int64)
+    at += 2 * lanes
+    words = np.frombuffer(data, "<u2", int(counts.sum()), at)
+    at += 2 * len(words)
+    steps = -(-n // lanes)
+    models, coder = _Models(alphabet, lanes, True), _Decoder(counts, words)
+    out = np.zeros((steps, lanes), np.int32)
+    for t in range(steps):
         models.predict()
-        step = coder.range >> _U(16)
-        value = ((coder.code - coder.low) // step).astype(np.int64)
-        both = models.f2 + models.f1
-        hit2 = value < models.f2
-        escape = value >= both
-        hit1 = ~(hit2 | escape)
-        start = models.f2 * hit1 + both * escape
-        share = models.f2 * hit2 + models.f1 * hit1 + (65536 - both) * escape
-        coder.narrow(step, start.astype(np.uint64), share.astype(np.uint64))
+        step = coder.range >> _SHIFT
+        value = np.minimum((coder.code - coder.low) // step, _U((1 << (BITS0 + BITS_W)) - 1)).astype(np.int64)
+        out[t] = own = models.find(value)
+        coder.narrow(step, *models.interval(own))
         coder.settle()
-        ids = np.where(hit2, models.id2, models.id1)
-        out = np.flatnonzero(escape)
-        if len(out):
-            rows, total = models.freq[out], models.total[out]
-            cumulative = rows.cumsum(axis=1)
-            step = coder.range[out] // total.astype(np.uint64)
-            value = np.minimum(((coder.code[out] - coder.low[out]) // step).astype(np.int64), total - 1)
-            m = (cumulative <= value[:, None]).sum(axis=1)
-            own = rows[np.arange(len(out)), m].astype(np.uint64)
-            upto = cumulative[np.arange(len(out)), m].astype(np.uint64)
-            coder.low[out] += step * (upto - own)
-            coder.range[out] = step * own
-            coder.settle()
-            bits = _low_bits(m).astype(np.uint64)
-            step = coder.range[out] >> bits
-            low = (coder.code[out] - coder.low[out]) // step
-            coder.low[out] += step * low
-            coder.range[out] = step
-            coder.settle()
-            ids[out] = np.where(m > 0, (_U(1) << bits) | low, _U(0)).astype(np.int32)
-        out_ids[t] = ids
-        models.learn(ids, hit2, escape, _magnitudes(ids))
-    return np.ascontiguousarray(out_ids.T)
-
-
-def encode_ids(ids: np.ndarray, block: int = BLOCK) -> bytes:
-    """A file of ``ids`` (unsigned, below 2**17)."""
+        models.learn(own)
+    ids = out.T.reshape(-1)[:n].astype(np.uint32)
+    if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
+        raise ValueError("a block does not match its checksum")
+    return ids, at
+
+
+def encode_ids(ids: np.ndarray, block: int = BLOCK, docs: np.ndarray | None = None, valid: np.ndarray | None = None, counts: np.ndarray | None = None) -> bytes:
+    """A file of ``ids`` (unsigned, below 2**19); ``docs``, ``valid`` and ``counts`` tell the documents' doc_ids, which
+    of them are not null, and how many ids each has."""
     ids = np.ascontiguousarray(ids, np.uint32)
-    whole = len(ids) // block
-    words = encode_blocks(ids[: whole * block].reshape(whole, block)) if whole else []
-    if len(ids) % block:
-        words += encode_blocks(ids[whole * block :].reshape(1, -1))
-    heads = []
-    for k, w in enumerate(words):
-        own = ids[k * block : (k + 1) * block]
-        heads.append(struct.pack("<III", len(own), len(w), zlib.crc32(own.astype("<u4").tobytes())))
-    return b"".join([MAGIC, struct.pack("<IIQ", VERSION, len(words), len(ids)), *heads, *[w.astype("<u2").tobytes() for w in words]])
+    if len(ids) and int(ids.max()) >= 1 << (BITS0 - 1):
+        raise ValueError("ids must be below 2**19")
+    n = 0 if docs is None else len(docs)
+    table = zlib.compress(np.packbits(valid).tobytes() + docs.astype("<i8").tobytes() + counts.astype("<u4").tobytes(), 1) if n else b""
+    blocks = [encode_block(ids[k : k + block]) for k in range(0, len(ids), block)]
+    return b"".join([struct.pack(_HEAD, MAGIC, VERSION, len(blocks), len(ids), n, len(table), zlib.crc32(table)), table, *blocks])
+
+
+def ids_in(data: bytes) -> int:
+    """How many ids a file holds, from its first bytes."""
+    magic, version, _, ids, *_ = struct.unpack_from(_HEAD, data)
+    if magic != MAGIC or version != VERSION:
+        raise ValueError("not a file of token ids")
+    return ids
 
 
 def decode_ids(data: bytes) -> np.ndarray:
     """The ids of a file; a block whose checksum fails raises."""
-    version, n, total = struct.unpack_from("<IIQ", data, 4)
-    if data[:4] != MAGIC or version != VERSION:
-        raise ValueError("not a file of token ids")
-    heads = [struct.unpack_from("<III", data, 20 + 12 * k) for k in range(n)]
-    at, words = 20 + 12 * n, []
-    for _, length, _ in heads:
-        words.append(np.frombuffer(data, "<u2", length, at))
-        at += 2 * length
-    full = [k for k in range(n) if heads[k][0] == heads[0][0]]
-    parts = [*decode_blocks([words[k] for k in full], heads[0][0])] if full else []
-    parts += [decode_blocks([words[k]], heads[k][0])[0] for k in range(len(full), n)]
-    for k, (own, (_, _, crc)) in enumerate(zip(parts, heads, strict=True)):
-        if zlib.crc32(own.astype("<u4").tobytes()) != crc:
-            raise ValueError(f"block {k} does not match its checksum")
+    return decode_file(data)[0]
+
+
+def decode_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, doc_ids, which of these are not null, ids of each document)."""
+    total = ids_in(data)
+    _, _, blocks, _, n, size, crc = struct.unpack_from(_HEAD, data)
+    at = HEAD_BYTES
+    table = data[at : at + size]
+    if zlib.crc32(table) != crc:
+        raise ValueError("the document table does not match its checksum")
+    at, raw, bits = at + size, zlib.decompress(table) if n else b"", -(-n // 8)
+    valid = np.unpackbits(np.frombuffer(raw, np.uint8, bits), count=n).astype(bool)
+    docs = np.frombuffer(raw, "<i8", n, bits)
+    counts = np.frombuffer(raw, "<u4", n, bits + 8 * n).astype(np.int64)
+    parts = []
+    for _ in range(blocks):
+        ids, at = decode_block(data, at)
+        parts.append(ids)
     out = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-    if len(out) != total:
+    if len(out) != total or n and counts.sum() != total:
         raise ValueError("ids are missing")
-    return out
+    return out, docs, valid, counts
 
 
 def write_ids(docs: DataFrame, ws: Workspace, path: str, end_id: int = 2, file_ids: int = FILE_IDS) -> DataFrame:
-    """Files of ids in ascending doc_id order (null first; equal doc_ids by text), each of whole documents and about
-    ``file_ids`` ids; returns the manifest: part, place, file, ids, docs and counts (packed).
+    """Files of documents in ascending doc_id order (null first; equal doc_ids by text), each of whole documents and
+    about ``file_ids`` ids; returns the manifest: part, place, file.
 
     Documents are dealt by ranges of (doc_id, hash of text), so neither long documents nor a repeated doc_id fill one
     task, and a file is written under a name of the attempt and counts only if its task is committed.
@@ -316,10 +351,10 @@ def write_ids(docs: DataFrame, ws: Workspace, path: str, end_id: int = 2, file_i
 
         def close():
             target = f"{folder}/{part:06d}-{len(rows):04d}-{TaskContext.get().taskAttemptId()}.kvxi"
-            write_bytes(target, encode_ids(np.concatenate(held)))
             valid = np.concatenate([np.asarray(n.is_valid()) for n in names])
             ids = np.concatenate([n.fill_null(0).to_numpy(zero_copy_only=False) for n in names])
-            rows.append((part, len(rows), target, size, ids.tobytes(), np.packbits(valid).tobytes(), np.concatenate(counts).astype(np.int64).tobytes()))
+            write_bytes(target, encode_ids(np.concatenate(held), BLOCK, ids, valid, np.concatenate(counts)))
+            rows.append((part, len(rows), target))
 
         for b in batches:
             for lo in range(0, b.num_rows, 512):
@@ -334,9 +369,8 @@ def write_ids(docs: DataFrame, ws: Workspace, path: str, end_id: int = 2, file_i
                     held, names, counts, size = [], [], [], 0
         if held:
             close()
-        kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-        columns = list(zip(*rows, strict=True)) or [[]] * 7
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], _MANIFEST_NAMES)
+        columns = list(zip(*rows, strict=True)) or [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.string()), strict=True)], ["part", "place", "file"])
 
     ordered = (
         docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
@@ -345,38 +379,36 @@ def write_ids(docs: DataFrame, ws: Workspace, path: str, end_id: int = 2, file_i
         .sortWithinPartitions("doc_id", "__tie")
         .select("doc_id", "text")
     )
-    return ws.save(ordered.mapInArrow(work, _MANIFEST), "manifest")
+    return ws.save(ordered.mapInArrow(work, "part int, place int, file string"), "manifest")
 
 
-_MANIFEST = "part int, place int, file string, ids long, docs binary, valid binary, counts binary"
-_MANIFEST_NAMES = ["part", "place", "file", "ids", "docs", "valid", "counts"]
+def read_ids(manifest: DataFrame, ws: Workspace) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the files of a manifest: it only lists them in order.
+    Their heads tell how many ids come before each file."""
 
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = [ids_in(read_bytes(f, HEAD_BYTES)) for f in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64())], ["part", "place", "file", "ids"])
 
-def read_ids(manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the files of a manifest."""
+    spread = lambda df: df.repartition(partitions(ws.spark), "file")
+    sized = ws.save(spread(manifest).mapInArrow(heads, "part int, place int, file string, ids long"), "heads")
     before = Window.orderBy("part", "place").rowsBetween(Window.unboundedPreceding, -1)
-    starts = manifest.select("file", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("first"))  # a row per file
-    listed = manifest.drop("ids").join(starts, "file")
+    listed = sized.select("file", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("first"))  # a row per file
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
-                ids = decode_ids(read_bytes(r["file"])).astype("<u4")
-                counts = np.frombuffer(r["counts"], np.int64)
-                docs = np.frombuffer(r["docs"], np.int64)
-                valid = np.unpackbits(np.frombuffer(r["valid"], np.uint8))[: len(docs)].astype(bool)
-                ends = np.cumsum(counts)
-                if len(ids) != (ends[-1] if len(ends) else 0):
-                    raise ValueError(f"{r['file']}: {len(ids)} ids")
-                crc = [zlib.crc32(ids[e - n : e].tobytes()) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
-                columns = [pa.array(docs, mask=~valid), pa.array(r["first"] + ends - counts), pa.array(counts), pa.array(crc, pa.int64())]
+            for file, first in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ids, docs, valid, counts = decode_file(read_bytes(file))
+                ids, ends = ids.astype("<u4"), np.cumsum(counts)
+                crc = [zlib.crc32(ids[e - n : e]) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
+                columns = [pa.array(docs, pa.int64(), mask=~valid), pa.array(first + ends - counts), pa.array(counts), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    spread = listed.repartition(partitions(manifest.sparkSession), "file")
-    return spread.mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spread(listed).mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def encode_documents(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
     """Tokenise, write files, read them back."""
     ws = Workspace(docs.sparkSession, "idcodec")
-    return read_ids(write_ids(docs, ws, path, end_id))
+    return read_ids(write_ids(docs, ws, path, end_id), ws)

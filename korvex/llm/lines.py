@@ -42,13 +42,11 @@ def line_units(ids: np.ndarray, text: pa.Array) -> Iterator[tuple[np.ndarray, np
     for i, j in K.slices(offsets):
         part = raw[offsets[i] : offsets[j]]
         cuts = offsets[i : j + 1] - offsets[i]
-        starts, ends = K.word_spans(part, cuts)
         feeds = np.flatnonzero(part == 0x0A)
         bounds = np.sort(np.concatenate([cuts[:-1], feeds + 1]))  # line starts; empty documents add empty lines
         owner = np.repeat(np.arange(j - i), 1 + np.diff(np.searchsorted(feeds, cuts)))
         place = np.arange(len(owner)) - np.searchsorted(owner, owner)
-        words = np.diff(np.append(np.searchsorted(starts, bounds), len(starts))).astype(np.int64)
-        hashes = K.span_hashes(part, starts, ends, lower=True)
+        hashes, words = K.unit_hashes(part, bounds)
         worded = words > 0
         tokens, counts = K.shingle_sets(hashes, words[worded])
         yield np.column_stack([ids[i:j][owner[worded]], place[worded]]), tokens, counts

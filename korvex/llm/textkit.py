@@ -8,6 +8,7 @@ is a slice of its own.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -20,31 +21,20 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
-_LOWERED = _BYTE[_LOWER]
-_MULT = 0x9E3779B97F4A7C15
-_MULT_INV = pow(_MULT, -1, 1 << 64)
-_POWERS: dict[int, np.ndarray] = {}
+#: Bytes of the words of a hash that are mixed block by block; longer words go through BLAKE2b.
+BLOCKED = 64
+_BLOCK_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _STEP = [_U(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        size = max(n, SLICE_BYTES + 65536)
-        steps = np.full(size, _U(base))
-        steps[0] = 1
-        _POWERS[base] = have = np.multiply.accumulate(steps)
-    return have[:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of 64-bit values."""
     x = x ^ (x >> _U(33))
-    x = x * _U(0xFF51AFD7ED558CCD)
-    x = x ^ (x >> _U(33))
-    x = x * _U(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> _U(33))
+    x *= _U(0xFF51AFD7ED558CCD)
+    x ^= x >> _U(33)
+    x *= _U(0xC4CEB9FE1A85EC53)
+    x ^= x >> _U(33)
+    return x
 
 
 def buffers(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -83,13 +73,76 @@ def word_spans(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.flatnonzero(starts), np.flatnonzero(ends) + 1
 
 
+def blocks_view(raw: np.ndarray, lower: bool = False) -> np.ndarray:
+    """The 8 bytes from each position of ``raw`` on as a little-endian number, zeros after its end; a view, no copies
+    of the blocks."""
+    padded = np.zeros(len(raw) + 16, np.uint8)
+    if lower:
+        np.take(_LOWER, raw, out=padded[: len(raw)])
+    else:
+        padded[: len(raw)] = raw
+    return np.ndarray(shape=(len(raw) + 9,), dtype="<u8", buffer=padded.data, strides=(1,))
+
+
+def block_of(blocks: np.ndarray, starts: np.ndarray, size: np.ndarray, k: int) -> np.ndarray:
+    """Bytes 8k .. 8k + 7 of spans of more than 8k bytes (of any size, if k is 0), zeros behind their ends."""
+    return blocks[starts + 8 * k if k else starts] & _BLOCK_MASK[np.minimum(size - 8 * k if k else size, 8)]
+
+
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
-    """64-bit hashes of byte spans, equal for equal bytes (after folding A-Z if ``lower``)."""
-    n = len(raw)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((_LOWERED if lower else _BYTE)[raw] * _powers(_MULT, n), out=total[1:])
-    value = (total[ends] - total[starts]) * _powers(_MULT_INV, n + 1)[starts]
-    return mix(value + (ends - starts).astype(np.uint64) * _STEP[0])
+    """64-bit hashes of byte spans, equal for equal bytes (after folding A-Z if ``lower``).
+
+    Every block of eight bytes goes through a bijection before the next is taken in, so spans of up to eight bytes and
+    equal length never collide, and no repetitive text makes others collide by its structure.
+    """
+    blocks = blocks_view(raw, lower)
+    size = ends - starts
+    out = mix(block_of(blocks, starts, size, 0) + size.astype(np.uint64) * _STEP[0])
+    rest = np.flatnonzero(size > 8)
+    for k in range(1, BLOCKED // 8):
+        if not len(rest):
+            break
+        out[rest] = mix(out[rest] ^ (block_of(blocks, starts[rest], size[rest], k) * _STEP[1] + _STEP[2]))
+        rest = rest[size[rest] > 8 * (k + 1)]
+    if len(rest):
+        data = blocks.base
+        for i in rest.tolist():
+            own = bytes(data[starts[i] : ends[i]])
+            out[i] = int.from_bytes(blake2b(own, digest_size=8).digest(), "little")
+    return out
+
+
+def unit_hashes(raw: np.ndarray, bounds: np.ndarray, lower: bool = True, step: int = SLICE_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words in order, words of each unit); ``bounds`` are the starts of the units in ``raw``. Works on
+    about ``step`` bytes at a time, cut where no word is, so a very long text needs little beside its hashes."""
+    if len(raw) <= 2 * step:
+        starts, ends = word_spans(raw, bounds)
+        return span_hashes(raw, starts, ends, lower), np.diff(np.append(np.searchsorted(starts, bounds), len(starts))).astype(np.int64)
+    parts, words, a = [], np.zeros(len(bounds), np.int64), 0
+    while a < len(raw):
+        b = min(len(raw), a + step)
+        while b < len(raw):  # on to the next space or unit
+            space = np.flatnonzero(_SPACE[raw[b : b + 4096]])
+            stop = b + int(space[0]) if len(space) else min(len(raw), b + 4096)
+            unit = int(np.searchsorted(bounds, b))
+            if unit < len(bounds) and bounds[unit] <= stop:
+                b = int(bounds[unit])
+                break
+            b = stop
+            if len(space):
+                break
+        part = raw[a:b]
+        first, last = np.searchsorted(bounds, [a, b])
+        own = bounds[first:last] - a
+        starts, ends = word_spans(part, own)
+        parts.append(span_hashes(part, starts, ends, lower))
+        at = np.concatenate([[0], np.searchsorted(starts, own), [len(starts)]])
+        counts = np.diff(at)
+        if first:
+            words[first - 1] += counts[0]
+        words[first:last] += counts[1:]
+        a = b
+    return np.concatenate(parts), words
 
 
 def run_ids(counts: np.ndarray) -> np.ndarray:
@@ -112,13 +165,15 @@ def shingle_sets(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np
     ends = np.cumsum(counts)
     begins = ends - counts
     full = np.maximum(counts - (SHINGLE - 1), 0)
-    n = len(hashes)
     out = np.zeros(int(full.sum() + ((counts > 0) & (full == 0)).sum()), np.uint64)
     made = np.where((counts > 0) & (full == 0), 1, full)
     at = np.cumsum(made) - made
-    if n >= SHINGLE:
-        rolled = sum(hashes[k : n - SHINGLE + 1 + k] * _STEP[k] for k in range(SHINGLE))
-        out[gather_runs(at, full)] = mix(rolled[gather_runs(begins, full)])
+    if len(counts) == 1:  # a long text: a piece at a time
+        for a in range(0, int(full[0]), SLICE_BYTES):
+            own = hashes[a : min(a + SLICE_BYTES, int(full[0])) + SHINGLE - 1]
+            out[a : a + len(own) - SHINGLE + 1] = _rolled(own)
+    elif len(hashes) >= SHINGLE:
+        out[gather_runs(at, full)] = _rolled(hashes)[gather_runs(begins, full)]
     short = np.flatnonzero((counts > 0) & (full == 0))
     if len(short):
         whole = counts[short].astype(np.uint64)
@@ -128,16 +183,29 @@ def shingle_sets(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np
         out[at[short]] = mix(whole)
     for a, b in zip(at.tolist(), (at + made).tolist(), strict=True):
         out[a:b].sort()
-    owner = run_ids(made)
     keep = np.ones(len(out), bool)
-    keep[1:] = (out[1:] != out[:-1]) | (owner[1:] != owner[:-1])
-    return out[keep], np.bincount(owner[keep], minlength=len(counts)).astype(np.int64)
+    np.not_equal(out[1:], out[:-1], out=keep[1:])
+    keep[at[made > 0]] = True
+    if keep.all():
+        return out, made
+    kept = np.concatenate([[0], np.cumsum(keep, dtype=np.int64)])
+    return out[keep], kept[at + made] - kept[at]
+
+
+def _rolled(hashes: np.ndarray) -> np.ndarray:
+    n = len(hashes) - SHINGLE + 1
+    out = hashes[:n] * _STEP[0]
+    for k in range(1, SHINGLE):
+        out += hashes[k : n + k] * _STEP[k]
+    return mix(out)
 
 
 def set_prints(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """A 64-bit fingerprint of each unit's set (order does not matter; the size is mixed in)."""
     total = np.zeros(len(tokens) + 1, np.uint64)
-    np.cumsum(mix(tokens * _STEP[1] + _STEP[2]), out=total[1:])
+    for a in range(0, len(tokens), SLICE_BYTES):
+        total[a + 1 : a + SLICE_BYTES + 1] = mix(tokens[a : a + SLICE_BYTES] * _STEP[1] + _STEP[2])
+    np.cumsum(total, out=total)
     ends = np.cumsum(counts)
     return mix((total[ends] - total[ends - counts]) * _STEP[3] + counts.astype(np.uint64) * _STEP[4])
 
@@ -146,10 +214,7 @@ def doc_shingles(array: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
     """(first document, one past the last, tokens, counts) slice by slice: each document's shingle set."""
     raw, offsets = buffers(array)
     for i, j in slices(offsets):
-        part = raw[offsets[i] : offsets[j]]
-        cuts = offsets[i : j + 1] - offsets[i]
-        starts, ends = word_spans(part, cuts)
-        hashes = span_hashes(part, starts, ends, lower=True)
-        words = np.diff(np.searchsorted(starts, cuts)).astype(np.int64)
+        hashes, words = unit_hashes(raw[offsets[i] : offsets[j]], offsets[i:j] - offsets[i])
         tokens, counts = shingle_sets(hashes, words)
+        del hashes
         yield i, j, tokens, counts

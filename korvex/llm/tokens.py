@@ -2,8 +2,11 @@
 
 Both byte-level and word-end BPE cut a text before a single space that stands between two characters that are no white
 space, and encode what lies between cuts on its own. So a text is split there, each distinct piece is encoded once by
-the tokenizers library and remembered by its 64-bit hash, and a batch's ids are gathered from those. Splits are made only
+the tokenizers library and remembered by its bytes, and a batch's ids are gathered from those. Splits are made only
 where both neighbours are plain ASCII or Latin-1 letters (lead byte 0xC3); around anything else the piece just grows.
+
+A piece of up to ``SHORT`` bytes is its own key: two 64-bit numbers hold its bytes and its length. Longer pieces are keys
+of a dict. So no hash stands for a piece, and no two pieces are ever taken for one another.
 """
 
 from __future__ import annotations
@@ -21,6 +24,9 @@ JOINED = 2048
 #: Pieces that a process remembers; beyond it starts anew.
 MEMORY = 1_500_000
 SLICE = 2 << 20
+SHORT = 15
+#: Twice what a process remembers and more.
+SLOTS = 1 << 23
 
 #: A space, then plain ASCII or Latin-1 letters: lower-casing keeps the number of bytes.
 _JOINABLE = re.compile(rb" (?:[\x21-\x7E]|\xC3[\x80-\xBF])+")
@@ -44,10 +50,46 @@ class Encoder:
         self.spaces = int(self.widths[probe].sum() == 4)
 
     def _forget(self) -> None:
-        self.hashes = np.zeros(0, np.uint64)
+        #: entry of each slot of an open hash table over short pieces, -1 if free
+        self.table = np.full(SLOTS, -1, np.int32)
+        self.long: dict[bytes, int] = {}
+        self.n = 0
+        self.key0, self.key1 = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.pool: list[np.ndarray] = [np.zeros(0, np.uint32)]
-        self.flat = self.pool[0]
+        self.flat, self.used = np.zeros(0, np.uint32), 0
+
+    @staticmethod
+    def _slot(key0: np.ndarray, key1: np.ndarray) -> np.ndarray:
+        return (K.mix(key0 ^ K.mix(key1)) & np.uint64(SLOTS - 1)).astype(np.int64)
+
+    def _find(self, key0: np.ndarray, key1: np.ndarray) -> np.ndarray:
+        """Entries of short pieces, -1 for new ones."""
+        slot = self._slot(key0, key1)
+        out = self.table[slot]
+        rest = np.flatnonzero(out >= 0)
+        rest = rest[(self.key0[out[rest]] != key0[rest]) | (self.key1[out[rest]] != key1[rest])]
+        while len(rest):
+            slot[rest] = (slot[rest] + 1) & (SLOTS - 1)
+            entry = self.table[slot[rest]]
+            out[rest] = entry
+            rest = rest[(entry >= 0) & ((self.key0[entry] != key0[rest]) | (self.key1[entry] != key1[rest]))]
+        return out
+
+    def _insert(self, key0: np.ndarray, key1: np.ndarray, entries: np.ndarray) -> None:
+        """New, distinct short pieces."""
+        slot, rest = self._slot(key0, key1), np.arange(len(entries))
+        while len(rest):
+            free = self.table[slot[rest]] < 0
+            self.table[slot[rest[free]]] = entries[rest[free]]
+            rest = rest[self.table[slot[rest]] != entries[rest]]
+            slot[rest] = (slot[rest] + 1) & (SLOTS - 1)
+
+    def _grown(self, old: np.ndarray, n: int) -> np.ndarray:
+        if n <= len(old):
+            return old
+        new = np.zeros(max(n, 2 * len(old), 1 << 12), old.dtype)
+        new[: len(old)] = old
+        return new
 
     def _encode_each(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
@@ -66,30 +108,61 @@ class Encoder:
             return self._encode_each(pieces)
         return ids, np.diff(np.concatenate([[0], at + 1])).astype(np.int32)
 
-    def _learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
-        if len(self.hashes) + len(hashes) > MEMORY:
-            self._forget()
+    def _learn(self, pieces: list[bytes]) -> np.ndarray:
+        """The entries that ``pieces`` get."""
         joinable = np.array([_JOINABLE.fullmatch(p) is not None and b"<|" not in p for p in pieces], bool)
         order = np.argsort(~joinable, kind="stable")
-        hashes, pieces, n = hashes[order], [pieces[i] for i in order.tolist()], int(joinable.sum())
+        pieces, n = [pieces[i] for i in order.tolist()], int(joinable.sum())
         parts = [self._encode_joined(pieces[k : min(k + JOINED, n)]) for k in range(0, n, JOINED)]
         if n < len(pieces):
             parts.append(self._encode_each(pieces[n:]))
-        new = np.concatenate([p for p, _ in parts])
+        ids = np.concatenate([p for p, _ in parts])
         lengths = np.concatenate([c for _, c in parts])
-        starts = len(self.flat) + np.cumsum(lengths, dtype=np.int64) - lengths
-        order = np.argsort(hashes)
-        at = np.searchsorted(self.hashes, hashes[order])
-        self.flat = np.concatenate([self.flat, new])
-        self.hashes = np.insert(self.hashes, at, hashes[order])
-        self.starts = np.insert(self.starts, at, starts[order])
-        self.lengths = np.insert(self.lengths, at, lengths[order])
-
-    def _missing(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.ones(len(hashes), bool)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return self.hashes[at] != hashes
+        first, self.n = self.n, self.n + len(pieces)
+        self.flat = self._grown(self.flat, self.used + len(ids))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.starts, self.lengths = self._grown(self.starts, self.n), self._grown(self.lengths, self.n)
+        self.starts[first : self.n] = self.used + np.cumsum(lengths, dtype=np.int64) - lengths
+        self.lengths[first : self.n] = lengths
+        self.used += len(ids)
+        entries = np.empty(len(pieces), np.int64)
+        entries[order] = np.arange(first, self.n)
+        return entries
+
+    def _entries(self, part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The entry of every piece of a slice; new pieces are learnt."""
+        size, blocks, data = ends - starts, K.blocks_view(part), None
+        key0 = K.block_of(blocks, starts, size, 0)
+        key1 = size.astype(np.uint64) << np.uint64(56)
+        longer = np.flatnonzero((size > 8) & (size <= SHORT))
+        key1[longer] |= K.block_of(blocks, starts[longer], size[longer], 1)
+        out = self._find(key0, key1)
+        wide = np.flatnonzero(size > SHORT)
+        if len(wide):
+            data = part.tobytes()
+            keys = [data[a:b] for a, b in zip(starts[wide].tolist(), ends[wide].tolist(), strict=True)]
+            new = [*dict.fromkeys(k for k in keys if k not in self.long)]
+            if new:
+                self.long.update(zip(new, self._learn(new).tolist(), strict=True))
+                self._keep_keys()
+            out[wide] = [self.long[k] for k in keys]
+        missing = np.flatnonzero(out < 0)
+        if len(missing):
+            own0, own1 = key0[missing], key1[missing]
+            order = np.lexsort((own0, own1))
+            fresh = np.ones(len(order), bool)
+            fresh[1:] = (own0[order[1:]] != own0[order[:-1]]) | (own1[order[1:]] != own1[order[:-1]])
+            rows = missing[order[fresh]]
+            data = data if data is not None else part.tobytes()
+            entries = self._learn([data[a:b] for a, b in zip(starts[rows].tolist(), ends[rows].tolist(), strict=True)])
+            self._keep_keys()
+            self.key0[entries], self.key1[entries] = key0[rows], key1[rows]
+            self._insert(key0[rows], key1[rows], entries)
+            out[missing[order]] = entries[np.cumsum(fresh) - 1]
+        return out
+
+    def _keep_keys(self) -> None:
+        self.key0, self.key1 = self._grown(self.key0, self.n), self._grown(self.key1, self.n)
 
     def _pieces(self, raw: np.ndarray, cuts: np.ndarray) -> np.ndarray:
         n = len(raw)
@@ -112,20 +185,18 @@ class Encoder:
             cuts = offsets[i : j + 1] - offsets[i]
             starts = self._pieces(part, cuts)
             ends = np.append(starts[1:], len(part))
-            hashes = K.span_hashes(part, starts, ends, lower=False)
-            known, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-            missing = self._missing(known)
-            if len(self.hashes) + missing.sum() > MEMORY:
-                self._forget()
-                missing[:] = True
-            if missing.any():
-                data = part.tobytes()
-                spans = zip(starts[first[missing]].tolist(), ends[first[missing]].tolist(), strict=True)
-                self._learn(known[missing], [data[a:b] for a, b in spans])
-            at = np.searchsorted(self.hashes, known)[back]
-            lengths = self.lengths[at].astype(np.int64)
-            parts.append(self.flat[K.gather_runs(self.starts[at], lengths)])
-            total = np.concatenate([[0], np.cumsum(lengths)])
+            sizes, first = [], 0
+            while first < len(starts):  # a very long text: some of its pieces at a time
+                last = max(first + 1, int(np.searchsorted(ends, starts[first] + SLICE, "right")))
+                if self.n + last - first > MEMORY + SLICE:
+                    self._forget()
+                base, stop = starts[first], ends[last - 1]
+                at = self._entries(part[base:stop], starts[first:last] - base, ends[first:last] - base)
+                lengths = self.lengths[at].astype(np.int64)
+                parts.append(self.flat[K.gather_runs(self.starts[at], lengths)])
+                sizes.append(lengths)
+                first = last
+            total = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) if sizes else np.zeros(1, np.int64)
             counts[i:j] = np.diff(total[np.searchsorted(starts, cuts)])
         return (np.concatenate(parts) if parts else np.zeros(0, np.uint32)), counts
 

@@ -261,6 +261,48 @@ def test_codec_round_trip(n):
             idcodec.decode_ids(bytes(broken))
 
 
+def test_codec_beats_plain_models():
+    """Fewer bytes than zlib and than the ids' own order-0 entropy, on text; documents come out of the file itself."""
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].combine_chunks()
+    ids, counts = tokens.encoder(BYTES).encode(texts)
+    share = np.bincount(ids) / len(ids)
+    share = share[share > 0]
+    docs, valid = np.arange(len(counts)) * 3 - 7, np.arange(len(counts)) % 5 > 0
+    data = idcodec.encode_ids(ids, docs=docs, valid=valid, counts=counts)
+    assert len(data) < len(zlib.compress(ids.astype("<u4").tobytes(), 9)) and 8 * len(data) < -(share * np.log2(share)).sum() * len(ids)
+    got = idcodec.decode_file(data)
+    assert all(np.array_equal(a, b) for a, b in zip(got, (ids, docs, valid, counts), strict=True))
+
+
+def test_pieces_of_one_polynomial_hash():
+    """Words that are equal under any polynomial modulo 2**64 stay apart in ids and shingles."""
+    import pyarrow as pa
+
+    flip = str.maketrans("ab", "ba")
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(flip)
+    texts = [word, word.translate(flip), word[:1024], word[:1024].translate(flip)]
+    for path in (BYTES, WORDS):
+        enc = tokens.Encoder(path)
+        ids, counts = enc.encode(pa.array(texts))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [e.ids for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert len({int(t) for _, _, tok, _ in textkit.doc_shingles(pa.array(texts)) for t in tok}) == 4
+
+
+def test_long_texts_in_pieces():
+    """Word hashes of a text that is worked on a piece at a time equal those of the whole."""
+    rng = random.Random(6)
+    text = "".join(rng.choice(["ab", "é", " ", "\n", "long" * 40, "\n\n"]) for _ in range(6000)).encode()
+    raw = np.frombuffer(text, np.uint8)
+    bounds = np.concatenate([[0], np.flatnonzero(raw == 10) + 1])
+    whole = textkit.unit_hashes(raw, bounds, step=len(raw))
+    for step in (1, 7, 100, 5000):
+        assert all(np.array_equal(a, b) for a, b in zip(textkit.unit_hashes(raw, bounds, step=step), whole, strict=True))
+
+
 def test_binary_cases(odd_docs, no_docs):
     got = idcodec.encode_documents(odd_docs, BYTES).toPandas().sort_values("start")
     assert len(got) == 10 and got.doc_id.isna().tolist()[0] and got.n_tokens.min() == 1

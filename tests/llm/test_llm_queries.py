@@ -46,7 +46,7 @@ def kept_lines(rows):
     for d, text in rows:
         keep = []
         for line in text.split("\n") if text else []:
-            s = shingles(line) if len(re.findall(r"[^\x20\x09-\x0D]+", line)) >= 5 else frozenset()
+            s = shingles(line)
             hits = Counter(y for g in s for y in where[g])
             if not any(100 * k >= 75 * (len(s) + sizes[y] - k) for y, k in hits.items()):
                 keep.append(line)
