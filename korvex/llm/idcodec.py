@@ -7,16 +7,15 @@ A block is cut into up to ``LANES`` runs of equal length, coded in lockstep: ste
 with a range coder of its own but all with the same models, which take in all ids of a step before the next. So a step
 is a few array operations, and the models learn from the whole block. An id x is predicted by a mixture
 
-    P(x) = w0 P0(x) + sum of w_k [x = c_k]
+    P(x) = sum of w_k [x = c_k], or w0 P0(x) if x is no c_k
 
 * P0, order 0: the ids' frequencies so far, brought up to date at the steps of :func:`_due_for_counts`,
 * c_k, order 1: the two ids that followed the id before most reliably, each with a confidence of 0 to 15,
 * c_k, order 2: the same after the two ids before (a hashed context).
 
-The weights depend on the candidates' confidences and are learnt: each candidate, and order 0, is credited with its share
-of the probability of the id that came. An id's interval is its place in the order of ids under the whole mixture, so
-candidates that agree with each other or with order 0 add up. All arithmetic is in integers, so files decode alike on any
-machine.
+The weights depend on the candidates' confidences together and are learnt: each candidate, and order 0, is credited with
+its share in the prediction of the id that came; weights of candidates that agree add up. All arithmetic is in integers,
+so files decode alike on any machine.
 
 Layout (little endian): magic ``KVXI``, u32 version, u32 blocks, u64 ids, u64 documents, u32 length and u32 CRC-32 of the
 document table (zlib: a bit per document that has an id, doc_ids as i64, lengths as u32); for each block u32 ids, u32
@@ -46,7 +45,7 @@ LANES = 8192
 RUN = 512
 FILE_IDS = 8_000_000
 #: Bits of the scales of order 0 and of the weights, and of the hashed contexts of order 2.
-BITS0, BITS_W, BITS2 = 20, 10, 20
+BITS0, BITS_W, BITS2 = 20, 10, 18
 CANDIDATES = 4
 _LEVEL = np.array([0, 1, 2, 2, 3, 3, 3, 4, 4, 4, 4, 4, 5, 5, 5, 5], np.int32)
 _STATES = 6 * 6 * 2 * 3 * 3
@@ -61,8 +60,13 @@ def _due_for_counts(step: int) -> bool:
     return step < 16 and step & (step - 1) == 0 or step % 16 == 0
 
 
-def _scaled(weights: np.ndarray) -> np.ndarray:
-    return weights.astype(np.int64) << BITS0
+def _mask(flags: np.ndarray) -> np.ndarray:
+    """All bits set where a flag is; choosing by masks costs a tenth of branching on random flags."""
+    return np.negative(flags.view(np.int8)).astype(np.int32)
+
+
+def _choose(mask: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return b ^ ((a ^ b) & mask)
 
 
 class _Models:
@@ -70,8 +74,8 @@ class _Models:
 
     def __init__(self, alphabet: int, lanes: int, decodes: bool):
         self.alphabet, self.decodes = alphabet, decodes
-        #: both slots of a context in one number, the first in its low half
-        self.slots = [np.zeros(1 << BITS2, np.int64), np.zeros(alphabet, np.int64)]
+        #: both slots of a context in one number, the first in its low half; they never name one id, at first 0 and 1
+        self.slots = [np.full(n, 1 << 36, np.int64) for n in (1 << BITS2, alphabet)]
         self.credit = np.full((CANDIDATES + 1, _STATES), 16, np.int64)
         self.seen, self.waiting = np.zeros(alphabet, np.int64), []
         self.before, self.last = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
@@ -97,75 +101,72 @@ class _Models:
         self.weights = out.astype(np.int32)
 
     def predict(self) -> None:
-        """Candidates and their weights."""
+        """Candidates, their weights, and where each one's part of the range ends."""
         mixed = self.last.view(np.uint32) * np.uint32(0x9E3779B1) + self.before.view(np.uint32) * np.uint32(0x85EBCA6B)
         self.at = [(mixed >> np.uint32(32 - BITS2)).astype(np.int64), self.last.astype(np.int64)]
-        pairs = [s[i].view(np.int32) for s, i in zip(self.slots, self.at, strict=True)]
+        pairs = [s.take(i).view(np.int32) for s, i in zip(self.slots, self.at, strict=True)]
         self.held = [np.ascontiguousarray(x) for p in pairs for x in (p[::2], p[1::2])]
-        self.ids = [h >> 4 for h in self.held]
-        level = [_LEVEL[h & 15] for h in self.held]
-        state = (level[0] * 6 + level[2]) * 2 + (self.ids[0] == self.ids[2])
+        self.ids = ids = [h >> 4 for h in self.held]
+        self.conf = [h & 15 for h in self.held]
+        level = [_LEVEL.take(c) for c in self.conf]
+        state = (level[0] * 6 + level[2]) * 2 + (ids[0] == ids[2])
         self.state = ((state * 3 + np.minimum(level[1], 2)) * 3 + np.minimum(level[3], 2)).astype(np.int64)
-        self.w = [row[self.state] for row in self.weights]
-        self.w0 = self.w[CANDIDATES].astype(np.int64)
+        self.w = w = [row.take(self.state) for row in self.weights]
+        # a candidate of order 1 that order 2 names too is one with it; the two of an order differ
+        same = [[_mask(ids[j] == ids[k]) for k in (2, 3)] for j in (0, 1)]
+        own = [w[j] + (w[2] & same[j][0]) + (w[3] & same[j][1]) for j in (0, 1)]
+        self.alone = [~(same[0][k] | same[1][k]) for k in (0, 1)]
+        own += [w[2 + k] & self.alone[k] for k in (0, 1)]
+        self.own, self.ends = own, []
+        for o in own:
+            self.ends.append(o + self.ends[-1] if self.ends else o)
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and width of ``ids`` in a range of 2**(BITS0 + BITS_W)."""
-        below, equal = np.zeros(len(ids), np.int32), np.zeros(len(ids), np.int32)
-        self.hits = [c == ids for c in self.ids]
-        for c, w, hit in zip(self.ids, self.w, self.hits, strict=False):
-            below += w * (c < ids)
-            equal += w * hit
-        self.width = self.w0 * self.share0[ids] + _scaled(equal)
-        return self.w0 * self.start0[ids] + _scaled(below), self.width
+        self.named = [_mask(c == ids) for c in self.ids]
+        hits = [*self.named[:2], *[n & a for n, a in zip(self.named[2:], self.alone, strict=True)]]
+        width = (self.own[0] & hits[0]) | (self.own[1] & hits[1]) | (self.own[2] & hits[2]) | (self.own[3] & hits[3])
+        start = (self.ends[0] & hits[1]) | (self.ends[1] & hits[2]) | (self.ends[2] & hits[3])
+        self.missed = missed = ~(hits[0] | hits[1] | hits[2] | hits[3])
+        start |= self.ends[3] & missed
+        w0 = (self.w[CANDIDATES] & missed).astype(np.int64)
+        return (start.astype(np.int64) << BITS0) + w0 * self.start0.take(ids), (width.astype(np.int64) << BITS0) + w0 * self.share0.take(ids)
 
     def find(self, value: np.ndarray) -> np.ndarray:
         """The ids whose intervals hold ``value``."""
-        ids, under = self.ids, np.zeros(len(value), np.int32)
-        below = [np.zeros(len(value), np.int32) for _ in ids]
-        equal = [w.copy() for w in self.w[:CANDIDATES]]
-        for k in range(CANDIDATES):
-            for j in range(k):
-                less, same = ids[j] < ids[k], ids[j] == ids[k]
-                below[k] += self.w[j] * less
-                below[j] += self.w[k] * ~(less | same)
-                equal[k] += self.w[j] * same
-                equal[j] += self.w[k] * same
-        out = np.full(len(value), -1, np.int32)
-        for k in range(CANDIDATES):
-            start = self.w0 * self.start0[ids[k]] + _scaled(below[k])
-            end = start + self.w0 * self.share0[ids[k]] + _scaled(equal[k])
-            passed = end <= value
-            under += self.w[k] * passed
-            np.copyto(out, ids[k], where=(value >= start) & ~passed)
-        other = np.flatnonzero(out < 0)
-        out[other] = self.id_at[(value[other] - _scaled(under[other])) // self.w0[other]]
+        high = (value >> BITS0).astype(np.int32)
+        behind = [_mask(high >= e) for e in self.ends]
+        out = self.ids[0]
+        for k in range(CANDIDATES - 1):
+            out = _choose(behind[k], self.ids[k + 1], out)
+        other = np.flatnonzero(behind[CANDIDATES - 1])
+        rest = value.take(other) - (self.ends[CANDIDATES - 1].take(other).astype(np.int64) << BITS0)
+        out[other] = self.id_at.take(rest // self.w[CANDIDATES].take(other))
         return out
 
     def learn(self, ids: np.ndarray) -> None:
         """Take in the ids of this step; :meth:`interval` was asked for them."""
         if self.step < 64 or self.step % 8 == 0:
-            unit = (1 << 44) // self.width
-            parts = [np.bincount(self.state, ((w * unit) >> 14) * h, _STATES) for w, h in zip(self.w, self.hits, strict=False)]
-            zero = (self.w0 * self.share0[ids] * (unit >> 10)) >> 24
-            self.credit += np.array([*parts, np.bincount(self.state, zero, _STATES)]).astype(np.int64)
+            parts = [w & n for w, n in zip(self.w, self.named, strict=False)]
+            whole = np.maximum(parts[0] + parts[1] + parts[2] + parts[3], 1)
+            parts = [*[(p << 10) // whole for p in parts], self.missed & 1024]
+            self.credit += np.array([np.bincount(self.state, p, _STATES) for p in parts]).astype(np.int64)
             self._weigh()
         named = ids << 4
         for k in range(2):
-            a, b, hit_a, hit_b = self.held[2 * k], self.held[2 * k + 1], self.hits[2 * k], self.hits[2 * k + 1]
-            conf_a, conf_b = a & 15, b & 15
+            a, b, hit_a, hit_b = (x[2 * k + i] for x in (self.held, self.named) for i in (0, 1))
+            conf_a, conf_b = self.conf[2 * k], self.conf[2 * k + 1]
             other = ~hit_a
-            first = (conf_a == 0) & other
-            swap = hit_b & (conf_b >= conf_a) & other
+            first = _mask(conf_a == 0) & other
+            swap = hit_b & _mask(conf_b >= conf_a) & other
+            # a hit makes a candidate surer and a miss less sure; a surer second comes first, and an unsure one is replaced
             new = np.empty((len(ids), 2), np.int32)
-            kept = np.where(hit_b, b + (conf_b < 15), np.where(conf_b > 1, b - 1, named + 1))
-            np.copyto(kept, b, where=hit_a | first)
-            np.copyto(kept, a, where=swap)
-            new[:, 1] = kept
-            kept = a + np.where(hit_a, conf_a < 15, -(conf_a > 0).view(np.int8))
-            np.copyto(kept, named + 1, where=first)
-            np.copyto(kept, named + np.minimum(conf_b + 1, 15), where=swap)
-            new[:, 0] = kept
+            more, less = np.minimum(conf_a + 1, 15), np.maximum(conf_a - 1, 0)
+            kept = (a - conf_a) + _choose(hit_a, more, less)
+            kept = _choose(first, named + 1, kept)
+            new[:, 0] = _choose(swap, named + np.minimum(conf_b + 1, 15), kept)
+            kept = _choose(hit_b, b + (conf_b < 15), _choose(_mask(conf_b > 1), b - 1, named + 1))
+            new[:, 1] = _choose(swap, a, _choose(hit_a | first, b, kept))
             self.slots[k][self.at[k]] = new.view(np.int64)[:, 0]
         self.waiting.append(ids)
         self.before, self.last = self.last, ids

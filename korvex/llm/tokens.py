@@ -1,7 +1,7 @@
 """Token ids of whole texts with a public tokenizer file, fast on large batches.
 
-Both byte-level and word-end BPE cut a text before a single space that stands between two characters that are no white
-space, and encode what lies between cuts on its own. So a text is split there, each distinct piece is encoded once by
+Both byte-level and word-end BPE cut a text before a single space or line feed that stands between two characters that
+are no white space, and encode what lies between cuts on its own. So a text is split there, each distinct piece is encoded once by
 the tokenizers library and remembered by its bytes, and a batch's ids are gathered from those. Splits are made only
 where both neighbours are plain ASCII or Latin-1 letters (lead byte 0xC3); around anything else the piece just grows.
 
@@ -28,8 +28,8 @@ SHORT = 15
 #: Twice what a process remembers and more.
 SLOTS = 1 << 23
 
-#: A space, then plain ASCII or Latin-1 letters: lower-casing keeps the number of bytes.
-_JOINABLE = re.compile(rb" (?:[\x21-\x7E]|\xC3[\x80-\xBF])+")
+#: A space or line feed, then plain ASCII or Latin-1 letters: lower-casing keeps the number of bytes.
+_JOINABLE = re.compile(rb"[ \n](?:[\x21-\x7E]|\xC3[\x80-\xBF])+")
 _PLAIN = np.zeros(256, bool)
 _PLAIN[0x21:0x7F] = True
 
@@ -97,7 +97,7 @@ class Encoder:
         return np.array([t for x in ids for t in x], np.uint32), np.array([len(x) for x in ids], np.int32)
 
     def _encode_joined(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of pieces that each are a space and plain characters: as one text, cut where their bytes end. If ids do
+        """Ids of pieces that each are a space or line feed and plain characters: as one text, cut where their bytes end. If ids do
         not end there, the pieces are encoded one by one."""
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         ids = np.array(encode([b"".join(pieces).decode()], add_special_tokens=False)[0].ids, np.uint32)
@@ -172,7 +172,7 @@ class Encoder:
         before[1:] = _PLAIN[raw[:-1]]
         before[2:] |= (raw[1:-1] >= 0x80) & (raw[:-2] == 0xC3)
         after[:-1] = _PLAIN[raw[1:]] | (raw[1:] == 0xC3)
-        starts = (raw == 0x20) & before & after
+        starts = ((raw == 0x20) | (raw == 0x0A)) & before & after
         starts[cuts[:-1][np.diff(cuts) > 0]] = True
         return np.flatnonzero(starts)
 
