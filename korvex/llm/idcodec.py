@@ -57,7 +57,7 @@ HEAD_BYTES, BLOCK_HEAD_BYTES = struct.calcsize(_HEAD), struct.calcsize(_BLOCK_HE
 
 
 def _due_for_counts(step: int) -> bool:
-    return step < 16 and step & (step - 1) == 0 or step % 16 == 0
+    return step < 32 and step & (step - 1) == 0 or step % 32 == 0
 
 
 def _mask(flags: np.ndarray) -> np.ndarray:
@@ -146,7 +146,7 @@ class _Models:
 
     def learn(self, ids: np.ndarray) -> None:
         """Take in the ids of this step; :meth:`interval` was asked for them."""
-        if self.step < 64 or self.step % 8 == 0:
+        if self.step < 64 or self.step % 16 == 0:
             parts = [w & n for w, n in zip(self.w, self.named, strict=False)]
             whole = np.maximum(parts[0] + parts[1] + parts[2] + parts[3], 1)
             parts = [*[(p << 10) // whole for p in parts], self.missed & 1024]
@@ -159,13 +159,13 @@ class _Models:
             other = ~hit_a
             first = _mask(conf_a == 0) & other
             swap = hit_b & _mask(conf_b >= conf_a) & other
-            # a hit makes a candidate surer and a miss less sure; a surer second comes first, and an unsure one is replaced
+            # a hit makes a candidate surer and a miss less sure; a surer second comes first, and what is new comes second
             new = np.empty((len(ids), 2), np.int32)
             more, less = np.minimum(conf_a + 1, 15), np.maximum(conf_a - 1, 0)
             kept = (a - conf_a) + _choose(hit_a, more, less)
             kept = _choose(first, named + 1, kept)
             new[:, 0] = _choose(swap, named + np.minimum(conf_b + 1, 15), kept)
-            kept = _choose(hit_b, b + (conf_b < 15), _choose(_mask(conf_b > 1), b - 1, named + 1))
+            kept = _choose(hit_b, b + (conf_b < 15), named + 1)
             new[:, 1] = _choose(swap, a, _choose(hit_a | first, b, kept))
             self.slots[k][self.at[k]] = new.view(np.int64)[:, 0]
         self.waiting.append(ids)

@@ -12,7 +12,6 @@ of a dict. So no hash stands for a piece, and no two pieces are ever taken for o
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +27,6 @@ SHORT = 15
 #: Twice what a process remembers and more.
 SLOTS = 1 << 23
 
-#: A space or line feed, then plain ASCII or Latin-1 letters: lower-casing keeps the number of bytes.
-_JOINABLE = re.compile(rb"[ \n](?:[\x21-\x7E]|\xC3[\x80-\xBF])+")
 _PLAIN = np.zeros(256, bool)
 _PLAIN[0x21:0x7F] = True
 
@@ -96,42 +93,57 @@ class Encoder:
         ids = [e.ids for e in encode([p.decode() for p in pieces], add_special_tokens=False)]
         return np.array([t for x in ids for t in x], np.uint32), np.array([len(x) for x in ids], np.int32)
 
-    def _encode_joined(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of pieces that each are a space or line feed and plain characters: as one text, cut where their bytes end. If ids do
-        not end there, the pieces are encoded one by one."""
+    def _encode_joined(self, text: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of pieces that each are a space or line feed and plain characters: as one text, cut where their bytes end;
+        none if ids do not end there."""
+        if b"<|" in text:
+            return None
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        ids = np.array(encode([b"".join(pieces).decode()], add_special_tokens=False)[0].ids, np.uint32)
+        ids = np.array(encode([text.decode()], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.cumsum(self.widths[ids])
-        wanted = np.cumsum([len(p) - 1 + self.spaces for p in pieces])
+        wanted = np.cumsum(sizes - 1 + self.spaces)
         at = np.searchsorted(ends, wanted)
         if not len(ids) or ends[-1] != wanted[-1] or not np.array_equal(ends[at], wanted):
-            return self._encode_each(pieces)
+            return None
         return ids, np.diff(np.concatenate([[0], at + 1])).astype(np.int32)
 
-    def _learn(self, pieces: list[bytes]) -> np.ndarray:
-        """The entries that ``pieces`` get."""
-        joinable = np.array([_JOINABLE.fullmatch(p) is not None and b"<|" not in p for p in pieces], bool)
+    def _learn(self, part: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The entries that these new pieces of a slice get."""
+        raw = part[K.gather_runs(starts, sizes)]
+        begins = np.cumsum(sizes) - sizes
+        # a plain character is printable ASCII or a Latin-1 letter: lower-casing keeps its number of bytes
+        fits = _PLAIN[raw] | (raw == 0xC3)
+        fits[1:] |= ((raw[1:] & 0xC0) == 0x80) & (raw[:-1] == 0xC3)
+        fits[begins] = (raw[begins] == 0x20) | (raw[begins] == 0x0A)
+        joinable = np.logical_and.reduceat(fits, begins) & (sizes > 1)
         order = np.argsort(~joinable, kind="stable")
-        pieces, n = [pieces[i] for i in order.tolist()], int(joinable.sum())
-        parts = [self._encode_joined(pieces[k : min(k + JOINED, n)]) for k in range(0, n, JOINED)]
-        if n < len(pieces):
-            parts.append(self._encode_each(pieces[n:]))
-        ids = np.concatenate([p for p, _ in parts])
-        lengths = np.concatenate([c for _, c in parts])
-        first, self.n = self.n, self.n + len(pieces)
+        n, data = int(joinable.sum()), None
+        ids, lengths = [], []
+        for rows in [order[k : min(k + JOINED, n)] for k in range(0, n, JOINED)] + [order[n:]]:
+            found = None
+            if len(rows) and joinable[rows[0]]:
+                found = self._encode_joined(raw[K.gather_runs(begins[rows], sizes[rows])].tobytes(), sizes[rows])
+            if found is None:
+                data = data if data is not None else raw.tobytes()
+                found = self._encode_each([data[a : a + c] for a, c in zip(begins[rows].tolist(), sizes[rows].tolist(), strict=True)])
+            ids.append(found[0])
+            lengths.append(found[1])
+        ids, lengths = np.concatenate(ids), np.concatenate(lengths)
+        first, self.n = self.n, self.n + len(sizes)
         self.flat = self._grown(self.flat, self.used + len(ids))
         self.flat[self.used : self.used + len(ids)] = ids
         self.starts, self.lengths = self._grown(self.starts, self.n), self._grown(self.lengths, self.n)
+        self.key0, self.key1 = self._grown(self.key0, self.n), self._grown(self.key1, self.n)
         self.starts[first : self.n] = self.used + np.cumsum(lengths, dtype=np.int64) - lengths
         self.lengths[first : self.n] = lengths
         self.used += len(ids)
-        entries = np.empty(len(pieces), np.int64)
+        entries = np.empty(len(sizes), np.int64)
         entries[order] = np.arange(first, self.n)
         return entries
 
     def _entries(self, part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The entry of every piece of a slice; new pieces are learnt."""
-        size, blocks, data = ends - starts, K.blocks_view(part), None
+        size, blocks = ends - starts, K.blocks_view(part)
         key0 = K.block_of(blocks, starts, size, 0)
         key1 = size.astype(np.uint64) << np.uint64(56)
         longer = np.flatnonzero((size > 8) & (size <= SHORT))
@@ -141,10 +153,10 @@ class Encoder:
         if len(wide):
             data = part.tobytes()
             keys = [data[a:b] for a, b in zip(starts[wide].tolist(), ends[wide].tolist(), strict=True)]
-            new = [*dict.fromkeys(k for k in keys if k not in self.long)]
+            new = {k: i for k, i in zip(keys, wide.tolist(), strict=True) if k not in self.long}
             if new:
-                self.long.update(zip(new, self._learn(new).tolist(), strict=True))
-                self._keep_keys()
+                rows = np.array([*new.values()])
+                self.long.update(zip(new, self._learn(part, starts[rows], size[rows]).tolist(), strict=True))
             out[wide] = [self.long[k] for k in keys]
         missing = np.flatnonzero(out < 0)
         if len(missing):
@@ -153,17 +165,12 @@ class Encoder:
             fresh = np.ones(len(order), bool)
             fresh[1:] = (own0[order[1:]] != own0[order[:-1]]) | (own1[order[1:]] != own1[order[:-1]])
             rows = missing[order[fresh]]
-            data = data if data is not None else part.tobytes()
-            entries = self._learn([data[a:b] for a, b in zip(starts[rows].tolist(), ends[rows].tolist(), strict=True)])
-            self._keep_keys()
+            entries = self._learn(part, starts[rows], size[rows])
             self.key0[entries], self.key1[entries] = key0[rows], key1[rows]
             self._insert(key0[rows], key1[rows], entries)
             out[missing[order]] = entries[np.cumsum(fresh) - 1]
         return out
 
-    def _keep_keys(self) -> None:
-        self.key0, self.key1 = self._grown(self.key0, self.n), self._grown(self.key1, self.n)
-
     def _pieces(self, raw: np.ndarray, cuts: np.ndarray) -> np.ndarray:
         n = len(raw)
         if not n:
