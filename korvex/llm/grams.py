@@ -6,8 +6,9 @@
 3. Similar documents are partitioned into groups, in ``ROUNDS`` rounds: every list of several classes names a leader from
    its largest class (another one each round), and a set moves to the class of the leader it meets in most lists, if the
    pair is verified. Sets of one class are surely connected; a class is cut into groups of at most about ``GROUP``.
-4. The matrix has a cell for every (token, group) of the lists that still hold several classes. A set that meets a group
-   of another, larger class in as many cells as a link needs is a query to it. Each group's union of tokens bounds the
+4. The matrix has a cell for every (token, group) of the lists that still hold several classes. A set is a query to the
+   groups of other, larger classes that it meets in the fewest of its lists that must hold any set like it, so lists that
+   a large group of copies shares are hardly ever walked. Each group's union of tokens bounds the
    overlap of a query with any member; only groups that reach 3/4 of the query's size are opened, and their members
    verified exactly.
 5. Classes are the connected components of the links found. No link between different sets is lost: a pair in different
@@ -33,8 +34,8 @@ from . import textkit as K
 from .common import Workspace, connected_components, text_or_empty
 
 NUM, DEN = 3, 4
-GROUP = 256
-QUERIES = 1024
+GROUP = 128
+QUERIES = 128
 #: Times that sets are tried against the leaders of their lists before the matrix takes over.
 ROUNDS = 3
 
@@ -83,6 +84,25 @@ def _placed(ws: Workspace, lists: DataFrame, classes: DataFrame, name: str) -> D
     return ws.save(out.withColumns({"component": F.coalesce("component", "print"), "size": F.coalesce("size", F.lit(1))}), name)
 
 
+def fewest_lists(left: DataFrame, num: int, den: int) -> DataFrame:
+    """The lists (print, n, component, size, token) in which a set must meet any set like it once at least.
+
+    A set in c lists meets any set like it in m of them or more (:func:`korvex.llm.setjoin.meetings_needed`, by the sizes
+    that its lists hold), so in one at least of any c - m + 1: those with the fewest entries are taken, and a list that a
+    large group of copies shares is hardly ever among them. Sets of fewer than m lists are like none.
+    """
+    about = left.groupBy("token").agg(F.count(F.lit(1)).alias("entries"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    own = (
+        left.join(about, "token")
+        .groupBy("print", "n", "component", "size")
+        .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sort_array(F.collect_list(F.struct("entries", "token"))).alias("lists"))
+        .withColumn("spare", F.size("lists") - J.meetings_needed(F.col("n"), F.col("lo"), F.col("hi"), num, den) + 1)
+        .where("spare > 0")
+    )
+    taken = F.transform(F.slice("lists", F.lit(1), F.col("spare").cast("int")), lambda x: x["token"])
+    return own.select("print", "n", "component", "size", F.explode(taken).alias("token"))
+
+
 def near_duplicate_classes(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     spark = docs.sparkSession
@@ -108,10 +128,7 @@ def near_duplicate_classes(docs: DataFrame, num: int = NUM, den: int = DEN) -> D
     met = ws.save(J.postings(sets, table, num, den, as_rows, "token long, print long, size int"), "met")
     del table
     sets.release()
-    # a set that meets others in too few lists is like none of them
-    enough = J.lists_needed(F.col("n"), num, den)
-    able = met.groupBy("print").agg(F.count(F.lit(1)).alias("c"), F.max("size").alias("n")).where(F.col("c") >= enough)
-    lists = ws.save(met.join(able.select("print"), "print", "left_semi"), "lists")
+    lists = ws.save(J.able_sets(met, num, den), "lists")
 
     # 3. groups of similar documents
     candidates = lists.select("print").distinct()
@@ -158,14 +175,13 @@ def near_duplicate_classes(docs: DataFrame, num: int = NUM, den: int = DEN) -> D
     cells = left.groupBy("token", F.col("component").alias("group"), F.col("size").alias("g_size"), "chunk").agg(
         F.min("n").alias("g_min"), F.max("n").alias("g_max")
     )
+    probes = ws.save(fewest_lists(left, num, den), "probes")
     asks = (
-        left.select("token", "print", "n", "component", "size")
-        .join(cells, "token")
+        probes.join(cells, "token")
         .where("component <> `group` and (size < g_size or (size = g_size and component < `group`))")
-        .groupBy("print", "group", "chunk")
-        .agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"), F.min("g_min").alias("lo"), F.max("g_max").alias("hi"))
-        .where(F.col("c") >= J.meetings_needed(F.col("n"), F.col("lo"), F.col("hi"), num, den))
+        .where(J.meetings_needed(F.col("n"), F.col("g_min"), F.col("g_max"), num, den).isNotNull())
         .select("print", "group", "chunk")
+        .distinct()
     )
     asks = ws.save(asks, "asks")
     waiting = asks.groupBy("group", "chunk").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("salts"))

@@ -101,10 +101,7 @@ def repeated_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame
     met = ws.save(J.postings(sets, table, num, den, earliest(num, den), schema, carry), "met")
     del table
     sets.release()
-    # a line that meets others in too few lists is like none of them
-    enough = J.lists_needed(F.col("n"), num, den)
-    able = met.groupBy("print").agg(F.count(F.lit(1)).alias("c"), F.max("size").alias("n")).where(F.col("c") >= enough)
-    lists = ws.save(met.join(able.select("print"), "print", "left_semi"), "lists")
+    lists = ws.save(J.able_sets(met, num, den), "lists")
 
     keyed = reps.join(lists.select("print").distinct(), "print", "left_semi").select("print", F.col("first.doc").alias("doc"), F.col("first.line").alias("line"))
     chosen = J.gather(sets, keyed, "sets")

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from . import textkit as K
 from .common import Workspace
 
-PART_TOKENS = 2_000_000
-FLUSH_TOKENS = 3_000_000
+PART_TOKENS = 1_000_000
+FLUSH_TOKENS = 1_500_000
 #: Slots of the rarity table: 2**RARITY_BITS bytes reach every task, whatever the input's size. Tokens that share a slot
 #: count as the commonest of them; any function of the token is a valid order, so this costs time only.
 RARITY_BITS = 25
@@ -46,11 +46,6 @@ def prefix_lengths(sizes: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.where(sizes > 0, sizes - (-(-sizes * num // den)) + 1 + sizes // STEP, 0)
 
 
-def lists_needed(size: F.Column, num: int, den: int) -> F.Column:
-    """Lists in which a set of this size meets any set like it (which may be smaller by num/den)."""
-    return 1 + F.floor(F.ceil(size * num / den) / STEP)
-
-
 def linked(common, a, b, num: int, den: int):
     """Whether sets of sizes a and b with ``common`` tokens in common have Jaccard num/den or more."""
     return common * den >= num * (a + b - common)
@@ -68,6 +63,20 @@ def meetings_needed(x: F.Column, low: F.Column, high: F.Column, num: int, den: i
     return F.when(low <= high, F.greatest(tight, 1 + F.floor(F.least(x, low) / STEP)))
 
 
+def able_sets(met: DataFrame, num: int, den: int) -> DataFrame:
+    """The rows of ``met`` (token, print, size ...) of sets that meet others in as many lists as they must meet any set
+    like them, by the sizes that their lists hold."""
+    sizes = met.groupBy("token").agg(F.min("size").alias("__lo"), F.max("size").alias("__hi"))
+    able = (
+        met.select("token", "print", "size")
+        .join(sizes, "token")
+        .groupBy("print")
+        .agg(F.count(F.lit(1)).alias("c"), F.max("size").alias("n"), F.min("__lo").alias("lo"), F.max("__hi").alias("hi"))
+        .where(F.col("c") >= meetings_needed(F.col("n"), F.col("lo"), F.col("hi"), num, den))
+    )
+    return met.join(able.select("print"), "print", "left_semi")
+
+
 @dataclass
 class Sets:
     """Texts to scan: ``rows`` has the columns id (long) and text (no nulls); ``units`` makes (keys, tokens, counts) of
