@@ -138,7 +138,7 @@ def without_lines(docs: DataFrame, gone: DataFrame) -> DataFrame:
     the places to cut, so rows of different documents never meet."""
     cuts = gone.groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("line").alias("__cut"))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(_LAST)))
-    marked = docs.join(cuts, key == F.col("__doc"), "left").drop("__doc")
+    marked = docs.join(cuts.hint("shuffle_hash"), key == F.col("__doc"), "left").drop("__doc")  # texts need no sort
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

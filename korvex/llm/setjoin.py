@@ -16,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import textkit as K
 from .common import Workspace
@@ -64,17 +65,12 @@ def meetings_needed(x: F.Column, low: F.Column, high: F.Column, num: int, den: i
 
 
 def able_sets(met: DataFrame, num: int, den: int) -> DataFrame:
-    """The rows of ``met`` (token, print, size ...) of sets that meet others in as many lists as they must meet any set
-    like them, by the sizes that their lists hold."""
-    sizes = met.groupBy("token").agg(F.min("size").alias("__lo"), F.max("size").alias("__hi"))
-    able = (
-        met.select("token", "print", "size")
-        .join(sizes, "token")
-        .groupBy("print")
-        .agg(F.count(F.lit(1)).alias("c"), F.max("size").alias("n"), F.min("__lo").alias("lo"), F.max("__hi").alias("hi"))
-        .where(F.col("c") >= meetings_needed(F.col("n"), F.col("lo"), F.col("hi"), num, den))
-    )
-    return met.join(able.select("print"), "print", "left_semi")
+    """The rows of ``met`` (token, print, size, lo, hi ...; lo and hi: the least and largest size in the token's list) of
+    sets that meet others in as many lists as they must meet any set like them. A set has at most its prefix of rows."""
+    own = Window.partitionBy("print")
+    needed = meetings_needed(F.col("size"), F.min("lo").over(own), F.max("hi").over(own), num, den)
+    ranked = met.withColumn("__c", F.count(F.lit(1)).over(own)).withColumn("__m", needed)
+    return ranked.where(F.col("__c") >= F.col("__m")).drop("__c", "__m", "lo", "hi")
 
 
 @dataclass
@@ -212,9 +208,10 @@ def ordered_prefixes(tokens: np.ndarray, counts: np.ndarray, table: np.ndarray,
 def postings(
     sets: Sets, table: np.ndarray, num: int, den: int, meet: Callable, schema: str, carry: list[tuple[type, Callable]] = ()
 ) -> DataFrame:
-    """``meet(tokens, prints, sizes, positions, *carried)`` over each part's prefix postings; it returns a frame.
+    """``meet(tokens, prints, sizes, positions, *carried)`` over each part's prefix postings; it returns a frame, to which
+    lo and hi are added, the least and the largest size in each row's list.
 
-    Only lists of two or more sets get there, sorted by token. ``carry`` adds columns: their type, and how they come
+    Only lists of two or more sets get there, sorted by token; ``meet`` may sort within lists. ``carry`` adds columns: their type, and how they come
     from a unit's keys; of equal sets, the one with the least carried values is taken.
 
     Equal sets post once a task or so, and again when a task meets one with less carried values, whatever the order of
@@ -265,10 +262,16 @@ def postings(
         several = np.repeat(sizes > 1, sizes)
         whole = (np.uint64(key[0]) << np.uint64(32)) | tokens[several].astype(np.uint64)
         columns = [x[several].astype(np.int64) for x in rest]
-        return meet(signed(whole), prints[several], *columns)
+        out = meet(signed(whole), prints[several], *columns)
+        long = sizes[sizes > 1]
+        starts = np.cumsum(long) - long
+        for name, least in (("lo", np.minimum), ("hi", np.maximum)):
+            ends = least.reduceat(columns[0], starts) if len(long) else columns[0]
+            out[name] = np.repeat(ends, long).astype(np.int32)
+        return out
 
     packed = sets.scan(each, "part int, " + ", ".join(f"{n} binary" for n in names))
-    return packed.groupBy("part").applyInPandas(reduce, schema)
+    return packed.groupBy("part").applyInPandas(reduce, schema + ", lo int, hi int")
 
 
 def gather(sets: Sets, chosen: DataFrame, name: str) -> DataFrame:

@@ -17,16 +17,22 @@ SLICE_BYTES = 1 << 20
 SHINGLE = 5
 
 _U = np.uint64
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 #: Bytes of the words of a hash that are mixed block by block; longer words go through BLAKE2b.
 BLOCKED = 64
 _BLOCK_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _STEP = [_U(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
 
+def spaces(raw: np.ndarray) -> np.ndarray:
+    """Which bytes are space or 0x09-0x0D."""
+    return (raw == 0x20) | (raw - np.uint8(9) < 5)
+
+
+def lowered(raw: np.ndarray) -> np.ndarray:
+    """A-Z folded."""
+    return raw + ((raw - np.uint8(65) < 26).view(np.uint8) << 5)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of 64-bit values."""
     x = x ^ (x >> _U(33))
@@ -64,7 +70,7 @@ def word_spans(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Starts and ends of words in ``raw``; ``cuts`` are positions at which a word ends in any case."""
     solid = np.empty(len(raw) + 2, bool)
     solid[0] = solid[-1] = False
-    np.logical_not(_SPACE[raw], out=solid[1:-1])
+    np.logical_not(spaces(raw), out=solid[1:-1])
     starts = solid[1:-1] & ~solid[:-2]
     ends = solid[1:-1] & ~solid[2:]
     inner = cuts[(cuts > 0) & (cuts < len(raw))]
@@ -77,10 +83,7 @@ def blocks_view(raw: np.ndarray, lower: bool = False) -> np.ndarray:
     """The 8 bytes from each position of ``raw`` on as a little-endian number, zeros after its end; a view, no copies
     of the blocks."""
     padded = np.zeros(len(raw) + 16, np.uint8)
-    if lower:
-        np.take(_LOWER, raw, out=padded[: len(raw)])
-    else:
-        padded[: len(raw)] = raw
+    padded[: len(raw)] = lowered(raw) if lower else raw
     return np.ndarray(shape=(len(raw) + 9,), dtype="<u8", buffer=padded.data, strides=(1,))
 
 
@@ -122,7 +125,7 @@ def unit_hashes(raw: np.ndarray, bounds: np.ndarray, lower: bool = True, step: i
     while a < len(raw):
         b = min(len(raw), a + step)
         while b < len(raw):  # on to the next space or unit
-            space = np.flatnonzero(_SPACE[raw[b : b + 4096]])
+            space = np.flatnonzero(spaces(raw[b : b + 4096]))
             stop = b + int(space[0]) if len(space) else min(len(raw), b + 4096)
             unit = int(np.searchsorted(bounds, b))
             if unit < len(bounds) and bounds[unit] <= stop:
@@ -181,7 +184,8 @@ def shingle_sets(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np
             has = counts[short] > k
             whole[has] += hashes[begins[short[has]] + k] * _STEP[k]
         out[at[short]] = mix(whole)
-    for a, b in zip(at.tolist(), (at + made).tolist(), strict=True):
+    several = made > 1
+    for a, b in zip(at[several].tolist(), (at + made)[several].tolist(), strict=True):
         out[a:b].sort()
     keep = np.ones(len(out), bool)
     np.not_equal(out[1:], out[:-1], out=keep[1:])
