@@ -89,10 +89,10 @@ def repeated_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame
             yield pa.RecordBatch.from_arrays(columns, ["doc", "line", "n", "print"])
 
     profiles = ws.save(sets.scan(profile, "doc long, line int, n int, print long"), "profiles")
+    sets.tokens = profiles.agg(F.sum("n")).first()[0] or 0
     place = F.struct("doc", "line")
-    reps = ws.save(profiles.groupBy("print").agg(F.min(place).alias("first"), F.first("n").alias("n")), "reps")
-    sets.tokens = reps.agg(F.sum("n")).first()[0] or 0
-    copies = profiles.join(reps.select("print", "first"), "print").where(place != F.col("first")).select("doc", "line")
+    repeated = profiles.groupBy("print").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    copies = profiles.join(ws.save(repeated.select("print", "first"), "repeated"), "print").where(place != F.col("first")).select("doc", "line")
 
     table = J.rarity_table(sets)
     ws.tidy()
@@ -103,7 +103,9 @@ def repeated_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame
     sets.release()
     lists = ws.save(J.able_sets(met, num, den), "lists")
 
-    keyed = reps.join(lists.select("print").distinct(), "print", "left_semi").select("print", F.col("first.doc").alias("doc"), F.col("first.line").alias("line"))
+    ws.drop("met")
+    # equal lines are in the lists as the earliest of them
+    keyed = ws.save(lists.select("print", "doc", F.col("line").cast("long").alias("line")).distinct(), "keyed")
     chosen = J.gather(sets, keyed, "sets")
     ws.tidy()
 
@@ -126,20 +128,22 @@ def repeated_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame
     )
     pairs = ws.save(pairs.select("a", "b"), "pairs")
     later = J.verify(pairs, chosen, num, den).select(F.col("a").alias("print")).distinct().unionByName(settled)
-    similar = reps.join(later, "print", "left_semi").select("first.doc", "first.line")
+    similar = keyed.join(later, "print", "left_semi").select("doc", F.col("line").cast("int").alias("line"))
     gone = ws.save(copies.unionByName(similar), "gone")
-    ws.drop("sets", "met", "lists", "pairs", "profiles", "reps")
+    ws.drop("sets", "lists", "pairs", "profiles", "repeated", "keyed")
     ws.tidy()
     return gone
 
 
-def without_lines(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` with the lines of ``gone`` cut out of text, and n_lines, n_removed. Documents join one row each that lists
-    the places to cut, so rows of different documents never meet."""
+def without_lines(docs: DataFrame, gone: DataFrame, names: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """``docs`` with the lines of ``gone`` cut out of text, and two columns of these names: lines before, lines cut
+    (columns of the input that have these names give way). Documents join one row each that lists the places to cut, so
+    rows of different documents never meet."""
+    docs = docs.drop(*names)
     cuts = gone.groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("line").alias("__cut"))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(_LAST)))
     marked = docs.join(cuts.hint("shuffle_hash"), key == F.col("__doc"), "left").drop("__doc")  # texts need no sort
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, T.LongType()) for n in names]])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -158,6 +162,6 @@ def without_lines(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return marked.mapInArrow(work, schema)
 
 
-def drop_repeated_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
-    """``docs`` with repeated lines cut out of text, and n_lines, n_removed."""
-    return without_lines(docs, repeated_lines(docs, num, den))
+def drop_repeated_lines(docs: DataFrame, num: int = NUM, den: int = DEN, names: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """``docs`` with repeated lines cut out of text, and n_lines, n_removed (or as ``names`` has it)."""
+    return without_lines(docs, repeated_lines(docs, num, den), names)
