@@ -96,7 +96,7 @@ def repeated_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame
 
     table = J.rarity_table(sets)
     ws.tidy()
-    carry = [(np.int64, lambda keys: keys[:, 0]), (np.int32, lambda keys: keys[:, 1])]
+    carry = [lambda keys: keys[:, 0], lambda keys: keys[:, 1]]
     schema = "token long, print long, doc long, line int, size int, at int, leader long, near boolean"
     met = ws.save(J.postings(sets, table, num, den, earliest(num, den), schema, carry), "met")
     del table

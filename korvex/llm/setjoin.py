@@ -128,12 +128,27 @@ def binary_rows(parts: np.ndarray, chunks: list[list[bytes]], names: list[str])
     return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), *[pa.array(c, pa.binary()) for c in chunks]], ["part", *names])
 
 
+def narrow(values: np.ndarray) -> bytes:
+    """Integers in as few bytes each as their range takes."""
+    low, high = (int(values.min()), int(values.max())) if len(values) else (0, 0)
+    width = next((w for w in (1, 2, 4) if low >= 0 and high < 1 << 8 * w), 8)
+    return values.astype(f"u{width}" if width < 8 else np.int64).tobytes()
+
+
+def widen(raw: bytes, n: int) -> np.ndarray:
+    """The ``n`` integers of :func:`narrow`, as int64."""
+    width = len(raw) // n if n else 8
+    return np.frombuffer(raw, f"u{width}" if width < 8 else np.int64).astype(np.int64)
+
+
 def split_by_part(tokens: np.ndarray, bits: int, *columns: np.ndarray) -> tuple[np.ndarray, list[list[bytes]]]:
-    """Sorted ``tokens`` and aligned columns cut where the top ``bits`` change: (parts, bytes of each column by part)."""
+    """Sorted ``tokens`` and aligned columns cut where the top ``bits`` change: (parts, bytes of each column by part);
+    columns of int64 are narrowed."""
     part = (tokens >> np.uint64(64 - bits)).astype(np.int64)
     cut = np.flatnonzero(np.diff(part)) + 1
     bounds = np.concatenate([[0], cut, [len(part)]]) if len(part) else np.zeros(1, np.int64)
-    pieces = [[np.ascontiguousarray(c[a:b]).tobytes() for a, b in zip(bounds, bounds[1:], strict=False)] for c in columns]
+    as_bytes = lambda c: narrow(c) if c.dtype == np.int64 else np.ascontiguousarray(c).tobytes()
+    pieces = [[as_bytes(c[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)] for c in columns]
     return part[bounds[:-1]] if len(part) else part, pieces
 
 
@@ -206,13 +221,13 @@ def ordered_prefixes(tokens: np.ndarray, counts: np.ndarray, table: np.ndarray,
 
 
 def postings(
-    sets: Sets, table: np.ndarray, num: int, den: int, meet: Callable, schema: str, carry: list[tuple[type, Callable]] = ()
+    sets: Sets, table: np.ndarray, num: int, den: int, meet: Callable, schema: str, carry: list[Callable] = ()
 ) -> DataFrame:
     """``meet(tokens, prints, sizes, positions, *carried)`` over each part's prefix postings; it returns a frame, to which
     lo and hi are added, the least and the largest size in each row's list.
 
-    Only lists of two or more sets get there, sorted by token; ``meet`` may sort within lists. ``carry`` adds columns: their type, and how they come
-    from a unit's keys; of equal sets, the one with the least carried values is taken.
+    Only lists of two or more sets get there, sorted by token; ``meet`` may sort within lists. ``carry`` adds columns of integers, made
+    from the units' keys; of equal sets, the one with the least carried values is taken.
 
     Equal sets post once a task or so, and again when a task meets one with less carried values, whatever the order of
     its rows; they are seen once in all. Tokens are cut to part and 32 bits: two that fall together only make a
@@ -221,7 +236,6 @@ def postings(
     bits = sets.part_bits
     shared = sets.share(table)
     names = ["tokens", "prints", "sizes", "positions", *[f"c{i}" for i in range(len(carry))]]
-    types = [np.uint32, np.uint64, np.uint32, np.uint32, *[t for t, _ in carry]]
 
     def each(slices):
         def flush(held):
@@ -233,16 +247,15 @@ def postings(
 
         held, size, least = [], 0, {}
         for keys, tokens, counts, prints in slices:
-            carried = [fn(keys).astype(t) for t, fn in carry]
+            carried = [fn(keys).astype(np.int64) for fn in carry]
             places = zip(*[c.tolist() for c in carried], strict=True) if carry else [()] * len(prints)
             new = np.zeros(len(prints), bool)
             for i, (p, place) in enumerate(zip(prints.tolist(), places, strict=True)):
                 if p not in least or place < least[p]:
                     least[p], new[i] = place, True
             mine, owner, position = ordered_prefixes(tokens[np.repeat(new, counts)], counts[new], shared.value, num, den)
-            sizes = counts[new].astype(np.uint32)
             more = [c[new][owner] for c in carried]
-            held.append((mine, prints[new][owner], sizes[owner], position.astype(np.uint32), *more))
+            held.append((mine, prints[new][owner], counts[new][owner], position, *more))
             size += len(mine)
             if size >= FLUSH_TOKENS // 2:
                 yield flush(held)
@@ -251,7 +264,9 @@ def postings(
             yield flush(held)
 
     def reduce(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        tokens, prints, *rest = (np.frombuffer(b"".join(pdf[n]), t) for n, t in zip(names, types, strict=True))
+        tokens, prints = np.frombuffer(b"".join(pdf["tokens"]), np.uint32), np.frombuffer(b"".join(pdf["prints"]), np.uint64)
+        each_row = [len(t) // 4 for t in pdf["tokens"]]
+        rest = [np.concatenate([widen(raw, n) for raw, n in zip(pdf[name], each_row, strict=True)]) for name in names[2:]]
         order = np.lexsort((*rest[2:][::-1], prints, tokens))
         tokens, prints, *rest = (x[order] for x in (tokens, prints, *rest))
         new = np.ones(len(tokens), bool)
@@ -261,7 +276,7 @@ def postings(
         sizes = np.diff(np.append(np.flatnonzero(lists), len(tokens)))
         several = np.repeat(sizes > 1, sizes)
         whole = (np.uint64(key[0]) << np.uint64(32)) | tokens[several].astype(np.uint64)
-        columns = [x[several].astype(np.int64) for x in rest]
+        columns = [x[several] for x in rest]
         out = meet(signed(whole), prints[several], *columns)
         long = sizes[sizes > 1]
         starts = np.cumsum(long) - long
