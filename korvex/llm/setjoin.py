@@ -22,7 +22,7 @@ from . import textkit as K
 from .common import Workspace
 
 PART_TOKENS = 1_000_000
-FLUSH_TOKENS = 1_500_000
+FLUSH_TOKENS = 1_000_000
 #: Slots of the rarity table: 2**RARITY_BITS bytes reach every task, whatever the input's size. Tokens that share a slot
 #: count as the commonest of them; any function of the token is a valid order, so this costs time only.
 RARITY_BITS = 25
@@ -112,6 +112,7 @@ class Sets:
                             yield keys, tokens, counts, K.set_prints(tokens, counts)
 
             yield from each(slices())
+            pa.default_memory_pool().release_unused()
 
         return self.rows.mapInArrow(work, schema)
 

@@ -21,11 +21,11 @@ from . import textkit as K
 #: New pieces that are encoded as one text.
 JOINED = 2048
 #: Pieces that a process remembers; beyond it starts anew.
-MEMORY = 1_500_000
-SLICE = 2 << 20
+MEMORY = 1_000_000
+SLICE = 1 << 20
 SHORT = 15
-#: Twice what a process remembers and more.
-SLOTS = 1 << 23
+#: Twice what a process remembers, with the pieces of a slice, and more.
+SLOTS = 1 << 22
 
 _PLAIN = np.zeros(256, bool)
 _PLAIN[0x21:0x7F] = True
@@ -84,7 +84,7 @@ class Encoder:
     def _grown(self, old: np.ndarray, n: int) -> np.ndarray:
         if n <= len(old):
             return old
-        new = np.zeros(max(n, 2 * len(old), 1 << 12), old.dtype)
+        new = np.zeros(max(n, len(old) * 5 // 4, 1 << 14), old.dtype)
         new[: len(old)] = old
         return new
 
@@ -195,7 +195,7 @@ class Encoder:
             sizes, first = [], 0
             while first < len(starts):  # a very long text: some of its pieces at a time
                 last = max(first + 1, int(np.searchsorted(ends, starts[first] + SLICE, "right")))
-                if self.n + last - first > MEMORY + SLICE:
+                if self.n + (last - first) // 4 > MEMORY or self.n + last - first > SLOTS // 2:
                     self._forget()
                 base, stop = starts[first], ends[last - 1]
                 at = self._entries(part[base:stop], starts[first:last] - base, ends[first:last] - base)
