@@ -21,7 +21,7 @@ from . import textkit as K
 #: New pieces that are encoded as one text.
 JOINED = 2048
 #: Pieces that a process remembers; beyond it starts anew.
-MEMORY = 1_000_000
+MEMORY = 1_500_000
 SLICE = 1 << 20
 SHORT = 15
 #: Twice what a process remembers, with the pieces of a slice, and more.
