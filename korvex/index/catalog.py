@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from ..errors import InvalidInput, NotFound
 from ..schema import CollectionSchema
+from . import cells, postings
 
 #: Allowed parameters with their defaults. Graph kinds are served by cells and exact scoring: Spark has no graph index.
 KINDS: dict[str, dict[str, object]] = {
@@ -38,16 +42,34 @@ def check_index(schema: CollectionSchema, name: str, kind: str, params: dict) ->
         raise InvalidInput("hnsw_hvq needs the metric ip")
 
 
+#: Kinds that are served by cells.
+CELLS = ("ivf", "ivf_usq", "hnsw", "hnsw_sq", "hnsw_hvq")
+
+
+def index_path(collection, name: str) -> str:
+    return f"{collection.path}/index/{name}/{collection.manifest['data_version']}"
+
+
+def candidates(collection, name: str, query: list[float], nprobe: int | None, metric: str) -> DataFrame | None:
+    """The rows that the index of a dense vector leaves as candidates, with the columns of :meth:`Collection.live`; none
+    if the field has no index by cells, or the data or the columns have changed since it was built."""
+    entry = collection.manifest["indexes"].get(name)
+    current = collection.manifest["indexed_version"] == collection.manifest["data_version"]
+    if entry is None or entry["kind"] not in CELLS or not current or collection.manifest.get("indexed_columns") != collection.manifest["columns"]:
+        return None
+    wanted = nprobe or {**KINDS[entry["kind"]], **entry["params"]}.get("nprobe", KINDS["ivf"]["nprobe"])
+    rows = cells.probed_rows(collection.spark, index_path(collection, name), query, int(wanted), metric)
+    return rows.withColumnRenamed("vector", name).select("id", *[f"`{c}`" for c in collection.manifest["columns"]])
+
+
 def build_index(collection, name: str, kind: str, params: dict) -> None:
     """Write what a kind needs beside the data. Scalar and flat kinds need nothing: Parquet statistics prune scans."""
-    from . import cells, postings
-
     chosen = {**KINDS[kind], **params}
-    live = collection.live().select("id", name).where(f"`{name}` is not null").withColumnRenamed(name, "vector")
-    where = f"{collection.path}/index/{name}/{collection.manifest['data_version']}"
-    if kind in ("ivf", "ivf_usq", "hnsw", "hnsw_sq", "hnsw_hvq"):
+    where = index_path(collection, name)
+    live = collection.live().where(f"`{name}` is not null").withColumn("vector", F.col(f"`{name}`"))
+    if kind in CELLS:
         n = live.count()
         nlist = max(1, min(int(chosen.get("nlist", 256)), n // 8 or 1))
-        cells.write_cells(live, cells.fit_centroids(live, nlist), where)
+        cells.write_cells(live.drop(name), cells.fit_centroids(live.select("id", "vector"), nlist), where)
     elif kind.startswith("sparse"):
-        postings.explode_postings(live).write.mode("overwrite").parquet(where)
+        postings.explode_postings(live.select("id", "vector")).write.mode("overwrite").parquet(where)

@@ -50,6 +50,7 @@ def assign_cells(vectors: DataFrame, centroids: list[list[float]]) -> DataFrame:
 
 
 def write_cells(vectors: DataFrame, centroids: list[list[float]], path: str) -> None:
+    """``vectors``: id, vector and what else queries need of a row."""
     spark = vectors.sparkSession
     assign_cells(vectors, centroids).write.mode("overwrite").partitionBy("cell").parquet(f"{path}/cells")
     spark.createDataFrame([(i, c) for i, c in enumerate(centroids)], "cell int, centroid array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
@@ -60,8 +61,18 @@ def read_cells(spark: SparkSession, path: str) -> tuple[DataFrame, list[list[flo
     return spark.read.parquet(f"{path}/cells"), [list(r["centroid"]) for r in rows]
 
 
-def probe(query: Sequence[float], centroids: Sequence[Sequence[float]], nprobe: int) -> list[int]:
-    d = ((np.array(centroids) - np.array(query)) ** 2).sum(axis=1)
+def probed_rows(spark: SparkSession, path: str, query: Sequence[float], nprobe: int, metric: str) -> DataFrame:
+    """The stored rows of the ``nprobe`` cells nearest to ``query``; Spark prunes the others' folders."""
+    stored, centroids = read_cells(spark, path)
+    return stored.where(F.col("cell").isin(probe(query, centroids, nprobe, metric))).drop("cell")
+
+
+def probe(query: Sequence[float], centroids: Sequence[Sequence[float]], nprobe: int, metric: str = "l2") -> list[int]:
+    """The cells whose centroids are nearest to the query by the metric, ties to the smaller cell."""
+    c, q = np.array(centroids, float), np.array(query, float)
+    d = ((c - q) ** 2).sum(axis=1) if metric == "l2" else -(c @ q)
+    if metric == "cosine":
+        d = d / np.maximum(np.sqrt((c * c).sum(axis=1)), 1e-300)
     return np.lexsort((np.arange(len(d)), d))[:nprobe].tolist()
 
 
@@ -90,18 +101,3 @@ def search_quantised(rows: DataFrame, query: Sequence[float], k: int, metric: st
     near = rough.orderBy("__r", "id").limit(max(k, rerank_k))
     return near.select("id", D.distance(metric, F.col("vector"), q).alias("distance")).orderBy("distance", "id").limit(k)
 
-
-def rotation(dim: int, seed: int = 42) -> np.ndarray:
-    """A seeded random rotation, for codes whose components share a range."""
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
-    return q * np.sign(np.diag(r))
-
-
-def rotated(vectors: DataFrame, dim: int, seed: int = 42) -> DataFrame:
-    turn = rotation(dim, seed)
-
-    @F.pandas_udf("array<double>")
-    def apply(v: pd.Series) -> pd.Series:
-        return pd.Series(list(np.stack(v.to_numpy()).astype(np.float64) @ turn))
-
-    return vectors.withColumn("rotated", apply("vector"))

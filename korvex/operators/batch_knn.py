@@ -14,8 +14,10 @@ from pyspark.sql.window import Window
 from ..errors import InvalidInput
 from ..schema import metric_name
 
-#: Queries that travel to every task at a time: the bound of what is broadcast.
+#: Queries that travel to every task, and that a task scores at a time: the bound of what is broadcast.
 QUERY_BLOCK = 2048
+#: Rows that a task scores against a block of queries.
+ROW_BLOCK = 16384
 
 
 def score_matrix(metric: str, x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -67,29 +69,24 @@ def _nearest(metric: str, x: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int)
 def batch_knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
     """query_id, rank, id, distance: the k nearest of each query (query_id, vector) among vectors (id, vector).
 
-    Queries go out in blocks of ``QUERY_BLOCK``; each task scores its rows against a block as one matrix product and
-    sends on k rows a query. Null vectors are left out.
+    Up to ``QUERY_BLOCK`` queries go out to all tasks, and each scores its rows against them as one matrix product and
+    sends on k rows a query and batch. More queries never pass through the driver: both sides are dealt over blocks by a
+    hash, and every pair of blocks is scored in a task of its own. Null vectors are left out.
     """
     metric = metric_name(metric)
-    blocks = []
-    rows = queries.where(F.col("vector").isNotNull()).orderBy("query_id").toLocalIterator()
-    names: list[int] = []
-    block: list = []
-    for r in rows:
-        names.append(r["query_id"])
-        block.append(r["vector"])
-        if len(block) == QUERY_BLOCK:
-            blocks.append((np.array(names), np.array(block, float)))
-            names, block = [], []
-    if block:
-        blocks.append((np.array(names), np.array(block, float)))
-    schema = "query_id long, id long, distance double"
-    if not blocks or k <= 0:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, id long, distance double")
-    found = None
-    for names_, matrix in blocks:
-        part = _scan(vectors, names_, matrix, k, metric, schema)
-        found = part if found is None else found.unionByName(part)
+    spark, schema = vectors.sparkSession, "query_id long, id long, distance double"
+    if k <= 0:
+        return spark.createDataFrame([], "query_id long, rank int, id long, distance double")
+    asked = queries.where(F.col("vector").isNotNull()).select(F.col("query_id").cast("long"), "vector")
+    rows = vectors.where(F.col("vector").isNotNull()).select(F.col("id").cast("long"), "vector")
+    few = asked.limit(QUERY_BLOCK + 1).collect()
+    if not few:
+        return spark.createDataFrame([], "query_id long, rank int, id long, distance double")
+    if len(few) <= QUERY_BLOCK:
+        few.sort(key=lambda r: r["query_id"])
+        found = _scan(rows, np.array([r["query_id"] for r in few]), np.array([r["vector"] for r in few], float), k, metric, schema)
+    else:
+        found = _block_pairs(rows, asked, k, metric, schema)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
     ranked = found.withColumn("rank", place.cast("int")).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "id", "distance")
@@ -107,7 +104,29 @@ def _scan(vectors: DataFrame, names: np.ndarray, q: np.ndarray, k: int, metric:
             rows, near, d = _nearest(metric, flat.reshape(len(ids), -1), ids, q, k)
             yield pa.RecordBatch.from_arrays([pa.array(names[rows], pa.int64()), pa.array(near, pa.int64()), pa.array(d + 0.0)], ["query_id", "id", "distance"])
 
-    return vectors.where(F.col("vector").isNotNull()).select(F.col("id").cast("long"), "vector").mapInArrow(work, schema)
+    return vectors.mapInArrow(work, schema)
+
+
+def _block_pairs(vectors: DataFrame, queries: DataFrame, k: int, metric: str, schema: str) -> DataFrame:
+    def dealt(df: DataFrame, ident: str, own: str, blocks: int, other: str, others: int) -> DataFrame:
+        df = df.withColumn(own, F.pmod(F.xxhash64(ident), F.lit(blocks)).cast("int"))
+        return df.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+    n_rows, n_queries = max(1, -(-vectors.count() // ROW_BLOCK)), max(1, -(-queries.count() // QUERY_BLOCK))
+    left = dealt(queries, "query_id", "qb", n_queries, "rb", n_rows)
+    right = dealt(vectors, "id", "rb", n_rows, "qb", n_queries)
+
+    def work(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(x):
+            return pd.DataFrame({"query_id": [], "id": [], "distance": []})
+        names, asked, rows = q["query_id"].to_numpy(), np.stack(q["vector"]).astype(float), np.stack(x["vector"]).astype(float)
+        if asked.shape[1] != rows.shape[1]:
+            raise InvalidInput("a vector has another dimension than the queries")
+        at, near, d = _nearest(metric, rows, x["id"].to_numpy(), asked, k)
+        return pd.DataFrame({"query_id": names[at], "id": near, "distance": d + 0.0})
+
+    keys = ["qb", "rb"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(work, schema)
 
 
 def recall_at_k(expected: DataFrame, actual: DataFrame) -> DataFrame:
@@ -116,19 +135,3 @@ def recall_at_k(expected: DataFrame, actual: DataFrame) -> DataFrame:
     hits = expected.join(actual.select("query_id", "id").distinct(), ["query_id", "id"], "left_semi").groupBy("query_id").agg(F.count(F.lit(1)).alias("h"))
     return sizes.join(hits, "query_id", "left").select("query_id", (F.coalesce("h", F.lit(0)) / F.col("n")).alias("recall"))
 
-
-def scored_column(dim: int, metric: str, query: list[float]):
-    """A pandas UDF that scores a vector column against one query; for wide vectors, where higher-order functions lag."""
-    metric = metric_name(metric)
-    q = np.array([query], float)
-
-    @F.pandas_udf("double")
-    def score(v: pd.Series) -> pd.Series:
-        present = v.notna()
-        out = pd.Series(np.nan, index=v.index)
-        if present.any():
-            x = np.stack(v[present].to_numpy()).astype(np.float64)
-            out[present] = np.sqrt(((x - q[0]) ** 2).sum(axis=1)) if metric == "l2" else score_matrix(metric, x, q)[0]
-        return out
-
-    return score

@@ -24,7 +24,7 @@ from ..operators.latest import fetch, latest_live, log_stats, newest
 from ..plans.context import QueryContext
 from ..plans.engine import execute
 from ..plans.filters import Compiler, parse
-from ..schema import SCALARS, UNSIGNED_MAX, WIDENINGS, CollectionSchema, Field, Vector
+from ..schema import SCALARS, UNSIGNED_MAX, WIDENINGS, CollectionSchema, Field, Vector, metric_name
 from .files import Files
 from .keys import KeyTable
 
@@ -136,8 +136,19 @@ class Collection:
         rows = self.log() if self.compacted else latest_live(self.log())
         return rows.drop("op_seq", "is_deleted")
 
-    def query(self, ctx: QueryContext) -> DataFrame:
-        return execute(self.live(), self.schema, ctx)
+    def query(self, ctx: QueryContext, exact: bool = False) -> DataFrame:
+        """Exact, unless the only source is a dense vector whose index by cells is current, and neither a filter, groups nor
+        an order by a field ask for rows far from it: then only the cells nearest to the vector are read (``nprobe`` of
+        the query or of the index) and scored exactly. ``exact`` reads all rows."""
+        rows, q = None, ctx.queries[0] if len(ctx.queries) == 1 else None
+        near = ctx.group_by is None and (ctx.order_by is None or ctx.order_scope == "topk") and not (ctx.filter or "").strip()
+        if q is not None and near and not exact and q.ids is None and isinstance(q.vector, (list, tuple)):
+            from ..index.catalog import candidates
+
+            name = q.field or self.schema.primary_vector
+            if len(q.vector) == self.schema.vector(name).dimension:
+                rows = candidates(self, name, q.vector, q.nprobe, metric_name(q.metric) if q.metric else self.schema.metric_of(name))
+        return execute(self.live() if rows is None else rows, self.schema, ctx)
 
     def fetch(self, ids: list[int]) -> DataFrame:
         return fetch(self.live(), ids)
@@ -453,7 +464,7 @@ class Collection:
         self.compact()
         for field_name, entry in self.manifest["indexes"].items():
             build_index(self, field_name, entry["kind"], entry["params"])
-        self._commit(False, indexed_version=self.manifest["data_version"])
+        self._commit(False, indexed_version=self.manifest["data_version"], indexed_columns=self.manifest["columns"])
 
     # --- string keys ---------------------------------------------------------------------------------------------
 

@@ -26,3 +26,17 @@ def test_close_rows():
         exact = np.sqrt(((x - q[i]) ** 2).sum(axis=1))
         want = np.lexsort((ids, exact))[:10]
         assert near[rows == i].tolist() == ids[want].tolist() and (d[rows == i] == exact[want]).all()
+
+
+def test_many_queries_in_block_pairs(spark, monkeypatch):
+    from korvex.operators import batch_knn as B
+
+    rng = np.random.default_rng(3)
+    x = rng.integers(-2, 3, (150, 4)).astype(float)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<float>")
+    asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[:60])], "query_id long, vector array<float>")
+    whole = {m: sorted(map(tuple, B.batch_knn(rows, asked, 7, m).collect())) for m in ("l2", "ip", "cosine")}
+    monkeypatch.setattr(B, "QUERY_BLOCK", 16)
+    monkeypatch.setattr(B, "ROW_BLOCK", 40)
+    for m, want in whole.items():
+        assert sorted(map(tuple, B.batch_knn(rows, asked, 7, m).collect())) == want

@@ -212,3 +212,47 @@ def test_sources_and_stream(spark, db, tmp_path):
     upsert_stream(stream, c, f"{tmp_path}/ck", "seq", "gone").trigger(availableNow=True).start().awaitTermination(120)
     c.refresh()
     assert state(c) == {1: ("c", 1), 3: ("d", 1)}
+
+
+def test_latest_live_reads_what_is_asked(spark, tmp_path):
+    """Columns that nobody asked for are not read, filters reach the scan, and nothing wide is sorted to aggregate."""
+    from korvex.operators.latest import latest_live
+
+    rows = [(i % 40, i, i % 7 == 0, f"n{i}", [float(i)] * 4) for i in range(100)]
+    spark.createDataFrame(rows, "id long, op_seq long, is_deleted boolean, name string, vec array<float>").write.parquet(str(tmp_path / "log"))
+    found = latest_live(spark.read.parquet(str(tmp_path / "log"))).where("name <> 'n1'").select("id", "name")
+    plan = found._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "vec" not in plan.replace("Vec", "") and "SortAggregate" not in plan and "Not(EqualTo(name,n1))" in plan
+    last = {i: r for r in rows for i in [r[0]]}
+    assert {(r["id"], r["name"]) for r in found.collect()} == {(i, r[3]) for i, r in last.items() if not r[2] and r[3] != "n1"}
+
+
+def test_query_through_cells(spark, tmp_path):
+    import numpy as np
+
+    from korvex.plans.context import QueryContext, VectorQuery
+    from korvex.schema import CollectionSchema, Field, Vector
+    from korvex.store.collection import Database
+
+    rng = np.random.default_rng(5)
+    x = (rng.normal(size=(12, 8))[rng.integers(12, size=600)] * 4 + rng.normal(size=(600, 8))).astype(np.float32)
+    schema = CollectionSchema("v", [Vector("v", 8)], [Field("n", "int32")])
+    c = Database(spark, f"file://{tmp_path}/db").create_collection("c", schema)
+    c.insert(spark.createDataFrame([(i, i % 5, v.tolist()) for i, v in enumerate(x)], "id long, n int, v array<float>"))
+    c.create_index("v", "ivf", nlist=12, nprobe=3)
+    ask = lambda q, **k: c.query(QueryContext([VectorQuery("v", q, **k)]))
+    whole = {i: [r["id"] for r in ask(x[i].tolist()).collect()] for i in range(0, 600, 60)}
+    c.optimize()
+    hits = 0
+    for i, want in whole.items():
+        found = ask(x[i].tolist())
+        hits += len({*want} & {r["id"] for r in found.collect()})
+        assert [r["id"] for r in ask(x[i].tolist(), nprobe=12).collect()] == want
+        assert [r["id"] for r in c.query(QueryContext([VectorQuery("v", x[i].tolist())]), exact=True).collect()] == want
+    assert hits >= 0.9 * sum(map(len, whole.values()))
+    plan = found._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "PartitionFilters" in plan and "cell" in plan
+    filtered = c.query(QueryContext([VectorQuery("v", x[0].tolist())], filter="n == 4", top_k=200))
+    assert filtered.count() == 120  # a filter asks for rows of any cell
+    c.upsert(spark.createDataFrame([(0, 9, x[300].tolist())], "id long, n int, v array<float>"))
+    assert 0 in [r["id"] for r in ask(x[300].tolist()).collect()]  # the index is not current any more
