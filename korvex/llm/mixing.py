@@ -88,7 +88,9 @@ def mix_schedule(
     block_words: int = 2048,
     ws: Workspace | None = None,
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken (words the mix takes of the document, repeats counted)."""
+    """doc_id, source, size, source_size, target, taken (words the mix takes of the document, repeats counted), first_slot
+    (the slot of the mix in which its first word comes; null if none does): ordered by it, the documents are the mix, and
+    every stretch of it holds the sources near their shares."""
     spark = docs.sparkSession
     ws = ws or Workspace(spark, "mix")
     stats = ws.save(
@@ -113,6 +115,7 @@ def mix_schedule(
     streams = ws.save(streams.withColumn("end", F.col("start") + F.col("size")), "streams")
 
     slots = _slots(spark, ws, targets, total, size)
+    first = slots.select("sn", "s", F.col("rank").alias("block"), "slot")
     blocks = (
         slots.join(targets.select("sn", "s", "source_size", "quota"), ["sn", "s"])
         .withColumn("__blocks", F.ceil(F.col("source_size") / size).cast("long"))
@@ -139,16 +142,21 @@ def mix_schedule(
         pieces.join(blocks, ["sn", "s", "block"], "left")
         .groupBy("sn", "s", "start", "doc_id", "size")
         .agg(F.sum(words).alias("taken"))
-        .unionByName(streams.where("size = 0").select("sn", "s", "start", "doc_id", "size", F.lit(0).cast("long").alias("taken")))
+        .withColumn("block", F.when(F.col("taken") > 0, F.expr(f"start div {size}")))
+        .join(first, ["sn", "s", "block"], "left")
+        .drop("block")
+        .withColumnRenamed("slot", "first_slot")
+        .unionByName(streams.where("size = 0").select("sn", "s", "start", "doc_id", "size", *[F.lit(x).cast("long").alias(n) for n, x in (("taken", 0), ("first_slot", None))]))
     )
     # one row a source, but no bound on the number of sources: Spark broadcasts it only when it is small enough
     return taken.join(targets.select("sn", "s", "source_size", "target"), ["sn", "s"]).select(
-        "doc_id", F.when(~F.col("sn"), F.col("s")).alias("source"), "size", "source_size", "target", "taken"
+        "doc_id", F.when(~F.col("sn"), F.col("s")).alias("source"), "size", "source_size", "target", "taken", "first_slot"
     )
 
 
 def _slots(spark, ws: Workspace, targets: DataFrame, total: int, size: int) -> DataFrame:
-    """(sn, s, rank) of every slot of the mix that a source uses."""
+    """(sn, s, rank, slot) of every slot of the mix that a source uses; slots that the sequence leaves a source short of
+    follow after all others."""
     wanted = targets.where("quota > 0").withColumn(
         "wanted",
         F.when(F.col("quota") <= F.col("source_size"), F.ceil(F.col("quota") / size)).otherwise(
@@ -169,27 +177,29 @@ def _slots(spark, ws: Workspace, targets: DataFrame, total: int, size: int) -> D
         .select("slot", "sn", "s", F.lit(1).cast("long").alias("one"))
     )
     ranked = ws.save(
-        salted_rank(drawn, ["sn", "s"], ["slot"], F.expr(f"slot div {SLOT_CHUNK}"), "one", "rank").select("sn", "s", "rank"), "ranked"
+        salted_rank(drawn, ["sn", "s"], ["slot"], F.expr(f"slot div {SLOT_CHUNK}"), "one", "rank").select("sn", "s", "rank", "slot"), "ranked"
     )
     counts = ranked.groupBy("sn", "s").agg(F.count(F.lit(1)).alias("drawn"))
-    used = ranked.join(wanted.select("sn", "s", "wanted"), ["sn", "s"]).where("rank < wanted").select("sn", "s", "rank")
+    used = ranked.join(wanted.select("sn", "s", "wanted"), ["sn", "s"]).where("rank < wanted").select("sn", "s", "rank", "slot")
     short = (
         wanted.join(counts, ["sn", "s"], "left")
         .withColumn("drawn", F.coalesce("drawn", F.lit(0)))
         .where("drawn < wanted")
         .select("sn", "s", F.explode(F.sequence(F.col("drawn"), F.col("wanted") - 1)).alias("rank"))
+        .withColumn("slot", F.col("rank") + -(-total // size))
     )
     return used.unionByName(short)
 
 
-def mix_documents(docs: DataFrame, **options) -> DataFrame:
+def mix_documents(docs: DataFrame, slot: str | None = None, **options) -> DataFrame:
     """The mixed corpus: each input row as often as the mix takes it, to the nearest whole number (0, 1 or 2 times
-    under the default ``max_repeat``). Rows that repeat a (doc_id, source, size) share what is taken of them evenly."""
-    columns = docs.columns
+    under the default ``max_repeat``). Rows that repeat a (doc_id, source, size) share what is taken of them evenly.
+    ``slot`` names a column to add: the slot of the mix to which a row belongs, for an ordered write or read."""
+    columns = [*docs.columns, *([slot] if slot else [])]
     taken = (
         mix_schedule(docs, **options)
         .groupBy(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__z"))
-        .agg((F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("__times"))
+        .agg((F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("__times"), F.min("first_slot").alias(slot or "__slot"))
         .where("__times >= 0.5")
     )
     keyed = docs.withColumn("__size", word_count(text_or_empty()))

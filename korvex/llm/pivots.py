@@ -17,13 +17,14 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace
 from .vectors import best, cross_blocks, hits_frame, list_matrix, map_vectors, modal_length, packed, top_rows, unpacked
 
-PIVOTS = 16
+PIVOTS = 128
 PIVOT_SAMPLE = 1024
 FIRST_BATCH = 256
 
@@ -108,7 +109,8 @@ def top_inner_products(vectors: DataFrame, every: int = 20, k: int = 20, scale:
         z = quantise(m, scale)
         lift = np.sqrt(np.maximum(longest - (z**2).sum(axis=1), 0))
         rows = [pivot_distances(z, x, chosen, longest).astype(np.float32) for x in (lift, np.zeros(len(z)))]
-        return [pa.array(ids), packed(z), packed(rows[0]), packed(rows[1])]
+        asked = pa.array(ids % every == 0)  # other rows need no distances of their own as a query
+        return [pa.array(ids), packed(z), packed(rows[0]), pc.if_else(asked, packed(rows[1]), pa.scalar(None, pa.binary()))]
 
     table = ws.save(
         map_vectors(vectors, index, "vec_id long, vec binary, far binary, far_query binary", ["vec_id", "vec", "far", "far_query"], dim),

@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import Workspace
 from .vectors import BLOCK, best, cross_blocks, hits_frame, list_matrix, map_vectors, modal_length, packed, top_rows, unpacked
 
-DIMS = 8
-CONFIDENCE = 0.97
+DIMS = 16
+CONFIDENCE = 0.95
 SAMPLE = 20_000
 MAX_CELLS = 4096
 LEAF = 128

@@ -13,7 +13,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_schedule
 
-    return mix_schedule(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_schedule(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def op2_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,14 +112,27 @@ f AS (
 t AS (
   SELECT source, source_size, least(cap, (SELECT min_by(level, k) FROM f WHERE level * w <= cap) * w) AS target FROM f),
 p AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS quota,
+  SELECT d.doc_id, d.source, d.size, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS quota,
          CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.shuffled, d.size
               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-       CAST(greatest(0, least(start + size, quota) - start)
-            + greatest(0, least(start + size, quota - source_size) - start) AS BIGINT) AS taken
-FROM p
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+b AS (
+  SELECT total, greatest(1, least(2048, total // 8192)) AS block, CAST(ceil(total / block) AS BIGINT) AS n
+  FROM (SELECT CAST(sum(floor(target)) AS BIGINT) AS total FROM t)),
+i AS (
+  SELECT source, source_size, CAST(floor(target) AS BIGINT) AS quota, round((upto - target) / whole * 2147483648) AS lo,
+         round(upto / whole * 2147483648) AS hi
+  FROM (SELECT *, sum(target) OVER (ORDER BY source NULLS LAST) AS upto, greatest(sum(target) OVER (), 1.0::DOUBLE) AS whole FROM t)),
+g AS (
+  SELECT i.source, slot, row_number() OVER (PARTITION BY i.source ORDER BY slot) - 1 AS rank
+  FROM (SELECT unnest(range(n)) AS slot FROM b) JOIN i ON (slot % 2147483648) * 1327217885 % 2147483648 >= lo AND (slot % 2147483648) * 1327217885 % 2147483648 < hi),
+x AS (
+  SELECT p.*, CAST(greatest(0, least(start + size, quota) - start)
+            + greatest(0, least(start + size, quota - source_size) - start) AS BIGINT) AS taken, start // block AS place, n
+  FROM p, b)
+SELECT doc_id, CAST(size AS BIGINT) AS size, x.source_size, target, taken,
+       CAST(CASE WHEN taken > 0 THEN coalesce(slot, n + place) END AS BIGINT) AS first_slot
+FROM x LEFT JOIN g ON x.source IS NOT DISTINCT FROM g.source AND x.place = g.rank
 """
 
 OP7_SQL = """

@@ -26,6 +26,16 @@ def test_mixing_cases(odd_docs, no_docs, make_docs):
     many = make_docs([(i, "w " * (1 + i % 9), "hot" if i % 3 else f"s{i % 7}") for i in range(600)])
     a, b = mixing.mix_schedule(many).toPandas(), mixing.mix_schedule(many).toPandas()
     assert a.sort_values("doc_id").values.tolist() == b.sort_values("doc_id").values.tolist()
+    # every stretch of the schedule holds the sources near their shares
+    texts = make_docs([(i, "w " * (20 + i % 9), "hot" if i % 3 else f"s{i % 4}") for i in range(3000)])
+    order = mixing.mix_schedule(texts).toPandas().sort_values("first_slot").dropna(subset="first_slot")
+    share = order.groupby("source").target.first() / order.groupby("source").target.first().sum()
+    for n in (300, 700, 1200):
+        part = order.head(n)
+        got_share = part.groupby("source").taken.sum() / part.taken.sum()
+        assert (got_share - share).abs().max() < 0.1
+    slotted = mixing.mix_documents(texts, slot="at").toPandas()
+    assert slotted["at"].notna().all() and slotted["at"].nunique() > 1000
     copies = mixing.mix_documents(many)
     assert copies.columns == many.columns and copies.groupBy("doc_id").count().agg({"count": "max"}).first()[0] <= 2
 
