@@ -46,8 +46,8 @@ def document_units(ids: np.ndarray, text: pa.Array) -> Iterator[tuple[np.ndarray
         yield keys[i:j], tokens, counts
 
 
-def as_rows(tokens, prints, sizes, positions) -> pd.DataFrame:
-    return pd.DataFrame({"token": tokens, "print": J.signed(prints), "size": sizes.astype(np.int32)})
+def as_rows(tokens, prints, sizes, positions, ends) -> pd.DataFrame:
+    return pd.DataFrame({"token": tokens, "print": J.signed(prints), "size": sizes.astype(np.int32), "end": ends})
 
 
 def open_groups(queries: pd.DataFrame, members: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
@@ -77,30 +77,45 @@ def open_groups(queries: pd.DataFrame, members: pd.DataFrame, num: int, den: int
 
 
 def _placed(ws: Workspace, lists: DataFrame, classes: DataFrame, name: str) -> DataFrame:
-    """(token, print, n) of the lists with each set's component (itself, if it has none yet) and that one's size."""
+    """(token, print, n, end) of the lists with each set's component (itself, if it has none yet) and that one's size."""
     sizes = classes.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     known = ws.save(classes.join(sizes, "component"), f"{name}-known")
-    out = lists.select("token", "print", F.col("size").alias("n")).join(known, "print", "left")
+    out = lists.select("token", "print", F.col("size").alias("n"), "end").join(known, "print", "left")
     return ws.save(out.withColumns({"component": F.coalesce("component", "print"), "size": F.coalesce("size", F.lit(1))}), name)
 
 
+def matrix_cells(left: DataFrame) -> DataFrame:
+    """The matrix: (token, group, chunk) with the group's size, and bounds of its members there: their sizes, their
+    ``top`` and where their prefixes end."""
+    return left.groupBy("token", F.col("component").alias("group"), F.col("size").alias("g_size"), "chunk").agg(
+        F.min("n").alias("g_min"), F.max("n").alias("g_max"), F.max("top").alias("g_top"), F.min("end").alias("g_first"), F.max("end").alias("g_last")
+    )
+
+
 def fewest_lists(left: DataFrame, num: int, den: int) -> DataFrame:
-    """The lists (print, n, component, size, token) in which a set must meet any set like it once at least.
+    """Of each set that can be like one in its lists: (print, n, component, size, end, top, lists), lists being those in
+    which it must meet any set like it once at least.
+
+    A set whose prefix ends later in the common order holds every token that both share of the other's prefix in its own.
+    So to it, the other's prefix tokens in no list bound their overlap; ``top`` is the size of the largest set of a later
+    end that a set can be like.
 
     A set in c lists meets any set like it in m of them or more (:func:`korvex.llm.setjoin.meetings_needed`, by the sizes
-    that its lists hold), so in one at least of any c - m + 1: those with the fewest entries are taken, and a list that a
+    that its lists hold), so in one at least of any c - m + 1: those with the fewest cells are taken, and a list that a
     large group of copies shares is hardly ever among them. Sets of fewer than m lists are like none.
     """
-    about = left.groupBy("token").agg(F.count(F.lit(1)).alias("entries"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    about = matrix_cells(left).groupBy("token").agg(F.count(F.lit(1)).alias("cells"), F.min("g_min").alias("lo"), F.max("g_max").alias("hi"))
     own = (
         left.join(about, "token")
-        .groupBy("print", "n", "component", "size")
-        .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sort_array(F.collect_list(F.struct("entries", "token"))).alias("lists"))
+        .groupBy("print", "n", "component", "size", "end")
+        .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sort_array(F.collect_list(F.struct("cells", "token"))).alias("lists"))
+        .withColumn("overlap", F.col("n") - (F.col("n") - F.ceil(F.col("n") * num / den) + 1 + F.floor(F.col("n") / J.STEP)) + F.size("lists") + F.floor(F.col("n") / J.FALLEN))
+        .withColumn("top", (F.floor(F.col("overlap") * (num + den) / num + 1e-9) - F.col("n")).cast("int"))
         .withColumn("spare", F.size("lists") - J.meetings_needed(F.col("n"), F.col("lo"), F.col("hi"), num, den) + 1)
         .where("spare > 0")
     )
-    taken = F.transform(F.slice("lists", F.lit(1), F.col("spare").cast("int")), lambda x: x["token"])
-    return own.select("print", "n", "component", "size", F.explode(taken).alias("token"))
+    taken = F.transform(F.slice("lists", F.lit(1), F.greatest(F.col("spare"), F.lit(0)).cast("int")), lambda x: x["token"])
+    return own.select("print", "n", "component", "size", "end", "top", taken.alias("lists"))
 
 
 def near_duplicate_classes(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -125,7 +140,7 @@ def near_duplicate_classes(docs: DataFrame, num: int = NUM, den: int = DEN) -> D
     # 2. posting lists of two or more sets
     table = J.rarity_table(sets)
     ws.tidy()
-    met = ws.save(J.postings(sets, table, num, den, as_rows, "token long, print long, size int"), "met")
+    met = ws.save(J.postings(sets, table, num, den, as_rows, "token long, print long, size int, end long", ends=True), "met")
     del table
     sets.release()
     lists = ws.save(J.able_sets(met, num, den), "lists")
@@ -169,16 +184,18 @@ def near_duplicate_classes(docs: DataFrame, num: int = NUM, den: int = DEN) -> D
     mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
     sizes = classes.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     left = ws.save(
-        placed.join(mixed, "token", "left_semi").withColumn("chunk", F.pmod(F.xxhash64("print"), F.ceil(F.col("size") / GROUP)).cast("int")),
+        placed.join(mixed, "token", "left_semi").withColumn("chunk", F.pmod(F.xxhash64("print"), F.ceil(F.col("size") / GROUP)).cast("int")).withColumn("top", F.lit(2**31 - 1)),
         "left",
     )
-    cells = left.groupBy("token", F.col("component").alias("group"), F.col("size").alias("g_size"), "chunk").agg(
-        F.min("n").alias("g_min"), F.max("n").alias("g_max")
-    )
+    # a set that can be like none leaves the lists
     probes = ws.save(fewest_lists(left, num, den), "probes")
+    left = ws.save(left.drop("top").join(probes.select("print", "top"), "print"), "left-able")
+    cells = matrix_cells(left)
+    probes = probes.withColumn("token", F.explode("lists")).drop("lists")
     asks = (
         probes.join(cells, "token")
         .where("component <> `group` and (size < g_size or (size = g_size and component < `group`))")
+        .where("not (g_first > end and g_min > top) and not (g_last < end and n > g_top)")
         .where(J.meetings_needed(F.col("n"), F.col("g_min"), F.col("g_max"), num, den).isNotNull())
         .select("print", "group", "chunk")
         .distinct()

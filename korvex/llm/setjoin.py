@@ -33,6 +33,8 @@ CANDIDATE_BITS = 27
 Units = Callable[[np.ndarray, pa.Array], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]
 
 
+#: One more token that may fall together with another of its set, for so many in the set.
+FALLEN = 4096
 #: A prefix is longer than the shortest that works by one token in so many of the set.
 STEP = 16
 
@@ -56,12 +58,13 @@ def meetings_needed(x: F.Column, low: F.Column, high: F.Column, num: int, den: i
     """Lists that a set of size x shares with any set like it of size low .. high (null if none can be like it).
 
     The one whose prefix ends first has at most its rest of about n (num/den - 1/STEP) tokens behind it, so the overlap
-    that the sizes demand, less the larger rest, lies in both prefixes. The bound is lowest at an end of the range.
+    that the sizes demand, less the larger rest, lies in both prefixes. The bound is lowest at an end of the range. Very
+    large sets are allowed some tokens that fall together where postings cut them short.
     """
     low, high = F.greatest(low, F.ceil(x * num / den)), F.least(high, F.floor(x * den / num))
     least = lambda y: (x + y) * (num / (num + den)) - F.greatest(x, y) * (num / den - 1 / STEP) - 1
     tight = F.ceil(F.least(least(low), least(high)) - 1e-9)
-    return F.when(low <= high, F.greatest(tight, 1 + F.floor(F.least(x, low) / STEP)))
+    return F.when(low <= high, F.greatest(F.lit(1), F.greatest(tight, 1 + F.floor(F.least(x, low) / STEP)) - F.floor(x / FALLEN)))
 
 
 def able_sets(met: DataFrame, num: int, den: int) -> DataFrame:
@@ -222,13 +225,14 @@ def ordered_prefixes(tokens: np.ndarray, counts: np.ndarray, table: np.ndarray,
 
 
 def postings(
-    sets: Sets, table: np.ndarray, num: int, den: int, meet: Callable, schema: str, carry: list[Callable] = ()
+    sets: Sets, table: np.ndarray, num: int, den: int, meet: Callable, schema: str, carry: list[Callable] = (), ends: bool = False
 ) -> DataFrame:
     """``meet(tokens, prints, sizes, positions, *carried)`` over each part's prefix postings; it returns a frame, to which
     lo and hi are added, the least and the largest size in each row's list.
 
     Only lists of two or more sets get there, sorted by token; ``meet`` may sort within lists. ``carry`` adds columns of integers, made
-    from the units' keys; of equal sets, the one with the least carried values is taken.
+    from the units' keys; of equal sets, the one with the least carried values is taken. ``ends``
+    adds the place of the last token of the set's prefix in the common order.
 
     Equal sets post once a task or so, and again when a task meets one with less carried values, whatever the order of
     its rows; they are seen once in all. Tokens are cut to part and 32 bits: two that fall together only make a
@@ -236,7 +240,7 @@ def postings(
     """
     bits = sets.part_bits
     shared = sets.share(table)
-    names = ["tokens", "prints", "sizes", "positions", *[f"c{i}" for i in range(len(carry))]]
+    names = ["tokens", "prints", "sizes", "positions", *[f"c{i}" for i in range(len(carry))], *(["end"] if ends else [])]
 
     def each(slices):
         def flush(held):
@@ -256,6 +260,12 @@ def postings(
                     least[p], new[i] = place, True
             mine, owner, position = ordered_prefixes(tokens[np.repeat(new, counts)], counts[new], shared.value, num, den)
             more = [c[new][owner] for c in carried]
+            if ends and len(mine):
+                last = mine[np.maximum(np.cumsum(np.bincount(owner, minlength=int(new.sum()))) - 1, 0)]
+                rarity = shared.value[(last >> np.uint64(64 - int(np.log2(len(shared.value))))).astype(np.int64)].astype(np.int64)
+                more.append(((rarity << 56) | (last >> np.uint64(8)).astype(np.int64))[owner])
+            elif ends:
+                more.append(np.zeros(0, np.int64))
             held.append((mine, prints[new][owner], counts[new][owner], position, *more))
             size += len(mine)
             if size >= FLUSH_TOKENS // 2:
