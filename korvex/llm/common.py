@@ -3,12 +3,15 @@ and distributed connected components."""
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,6 +70,37 @@ class Workspace:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back() -> None:
+    """Return freed memory to the system. Workers live on from step to step, and several idle ones of an executor would
+    each keep the most that any of their tasks took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def thrifty(work: Callable) -> Callable:
+    """``work`` (batches of a task to batches), giving back its memory at the end of the task."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from work(batches)
+        give_back()
+
+    return run
+
+
+def thrifty_group(work: Callable) -> Callable:
+    """The same for a function of a key and its group, or of two groups."""
+
+    def run(left, right):
+        out = work(left, right)
+        give_back()
+        return out
+
+    return run
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

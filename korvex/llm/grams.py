@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import setjoin as J
 from . import textkit as K
-from .common import Workspace, connected_components, text_or_empty
+from .common import Workspace, connected_components, text_or_empty, thrifty_group
 
 NUM, DEN = 3, 4
 GROUP = 128
@@ -220,7 +220,7 @@ def near_duplicate_classes(docs: DataFrame, num: int = NUM, den: int = DEN) -> D
         .select("group", "chunk", "salt", F.col("print").alias("print"), F.col("tokens").alias("tokens"))
     )
     keys = ["group", "chunk", "salt"]
-    more = asked.groupBy(*keys).cogroup(opened.groupBy(*keys)).applyInPandas(lambda q, m: open_groups(q, m, num, den), "a long, b long")
+    more = asked.groupBy(*keys).cogroup(opened.groupBy(*keys)).applyInPandas(thrifty_group(lambda q, m: open_groups(q, m, num, den)), "a long, b long")
     found = ws.save(links.unionByName(more), "found")
     ws.tidy()
 

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from . import setjoin as J
 from . import textkit as K
-from .common import Workspace, text_or_empty
+from .common import Workspace, text_or_empty, thrifty
 
 NUM, DEN = 3, 4
 _LAST = np.iinfo(np.int64).max
@@ -159,7 +159,7 @@ def without_lines(docs: DataFrame, gone: DataFrame, names: tuple[str, str] = ("n
             columns = [pa.array(out, text.type) if n == "text" else c for n, c in zip(b.schema.names, b.columns, strict=True) if n != "__cut"]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(removed, pa.int64())], schema.names)
 
-    return marked.mapInArrow(work, schema)
+    return marked.mapInArrow(thrifty(work), schema)
 
 
 def drop_repeated_lines(docs: DataFrame, num: int = NUM, den: int = DEN, names: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, text_or_empty
+from .common import Workspace, text_or_empty, thrifty, thrifty_group
 from .tokens import encoder
 
 CAPACITY = 4096
@@ -169,7 +169,7 @@ def pieces(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     schema = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(work, schema)
+    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(thrifty(work), schema)
 
 
 _STATE = "shard int, island int, uids binary, lengths binary, elite binary, population array<binary>"
@@ -192,7 +192,7 @@ def _shards(loose: DataFrame, n_shards: int, capacity: int) -> DataFrame:
         return pd.DataFrame(rows, columns=["shard", "island", "uids", "lengths", "elite", "population"])
 
     dealt = loose.select("uid", "length", F.pmod(F.xxhash64("uid", F.lit(n_shards)), F.lit(n_shards)).cast("int").alias("shard"))
-    return dealt.groupBy("shard").applyInPandas(gather, _STATE)
+    return dealt.groupBy("shard").applyInPandas(thrifty_group(gather), _STATE)
 
 
 def _epoch(state: DataFrame, epoch: int, capacity: int) -> DataFrame:
@@ -212,7 +212,7 @@ def _epoch(state: DataFrame, epoch: int, capacity: int) -> DataFrame:
                 rows.append((r.shard, r.island, r.uids, r.lengths, packed[0], packed))
             yield pd.DataFrame(rows, columns=["shard", "island", "uids", "lengths", "elite", "population"])
 
-    return state.join(guests, ["shard", "island"], "left").mapInPandas(work, _STATE)
+    return state.join(guests, ["shard", "island"], "left").mapInPandas(thrifty(work), _STATE)
 
 
 def _settle(state: DataFrame, level: int, last: bool, capacity: int) -> DataFrame:

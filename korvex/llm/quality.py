@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .common import text_or_empty
+from .common import text_or_empty, thrifty
 
 FOLDS = 5
 MAX_LABELS = 20_000
@@ -241,7 +241,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> A
     pairs = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("__doc"))
     rows = (
         pairs.select("doc_id", "__quality", "text")
-        .mapInArrow(work, "d long, y int, " + ", ".join(f"{n} double" for n in names))
+        .mapInArrow(thrifty(work), "d long, y int, " + ", ".join(f"{n} double" for n in names))
         .dropDuplicates(["d"])
         .orderBy("d")
         .toPandas()
@@ -259,7 +259,7 @@ def score_documents(docs: DataFrame, model: AdditiveModel, threshold: float = TH
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score", "predicted"])
 
     chosen = docs.select(F.col("doc_id").cast("long"), F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), text_or_empty().alias("text"))
-    return chosen.mapInArrow(work, "doc_id long, held_out boolean, score double, predicted int")
+    return chosen.mapInArrow(thrifty(work), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: AdditiveModel, threshold: float = THRESHOLD) -> DataFrame:
@@ -271,4 +271,4 @@ def keep_good(docs: DataFrame, model: AdditiveModel, threshold: float = THRESHOL
             text = b.column(b.schema.get_field_index("text"))
             yield b.filter(pa.array(model.score(text_features(text)) >= threshold))
 
-    return docs.mapInArrow(work, schema)
+    return docs.mapInArrow(thrifty(work), schema)

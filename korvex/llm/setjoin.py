@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textkit as K
-from .common import Workspace
+from .common import Workspace, thrifty, thrifty_group
 
 PART_TOKENS = 1_000_000
 FLUSH_TOKENS = 1_000_000
@@ -115,9 +115,8 @@ class Sets:
                             yield keys, tokens, counts, K.set_prints(tokens, counts)
 
             yield from each(slices())
-            pa.default_memory_pool().release_unused()
 
-        return self.rows.mapInArrow(work, schema)
+        return self.rows.mapInArrow(thrifty(work), schema)
 
 
 def signed(x: np.ndarray) -> np.ndarray:
@@ -200,7 +199,7 @@ def rarity_table(sets: Sets) -> np.ndarray:
         np.maximum.at(classes, (tokens[first][common].astype(np.int64) >> (32 - slot_bits)), np.ceil(np.log2(total[common] + 1)).astype(np.uint8))
         return pd.DataFrame({"part": [key[0]], "classes": [classes.tobytes()]})
 
-    found = sets.scan(each, "part int, tokens binary, counts binary").groupBy("part").applyInPandas(count, "part int, classes binary")
+    found = sets.scan(each, "part int, tokens binary, counts binary").groupBy("part").applyInPandas(thrifty_group(count), "part int, classes binary")
     table = np.zeros(1 << max(RARITY_BITS, bits), np.uint8)
     for part, classes in found.toLocalIterator():
         table[part << slot_bits : (part + 1) << slot_bits] = np.frombuffer(classes, np.uint8)
@@ -297,7 +296,7 @@ def postings(
         return out
 
     packed = sets.scan(each, "part int, " + ", ".join(f"{n} binary" for n in names))
-    return packed.groupBy("part").applyInPandas(reduce, schema + ", lo int, hi int")
+    return packed.groupBy("part").applyInPandas(thrifty_group(reduce), schema + ", lo int, hi int")
 
 
 def gather(sets: Sets, chosen: DataFrame, name: str) -> DataFrame:
@@ -326,10 +325,10 @@ def gather(sets: Sets, chosen: DataFrame, name: str) -> DataFrame:
         flags[np.frombuffer(b"".join(pdf["slots"]), np.uint32).astype(np.int64) & ((1 << (bits - parts)) - 1)] = True
         return pd.DataFrame({"part": [key[0]], "flags": [np.packbits(flags).tobytes()]})
 
-    slots = chosen.mapInPandas(partial, "part int, slots binary")
+    slots = chosen.mapInPandas(thrifty(partial), "part int, slots binary")
     bitmap = np.zeros(1 << (bits - 3), np.uint8)
     width = 1 << (bits - parts - 3)
-    for part, flags in slots.groupBy("part").applyInPandas(union, "part int, flags binary").toLocalIterator():
+    for part, flags in slots.groupBy("part").applyInPandas(thrifty_group(union), "part int, flags binary").toLocalIterator():
         bitmap[part * width : (part + 1) * width] = np.frombuffer(flags, np.uint8)
     shared = sets.share(bitmap)
 
@@ -364,4 +363,4 @@ def verify(pairs: DataFrame, table: DataFrame, num: int, den: int) -> DataFrame:
     sized = pairs.join(left, "a").join(right, "b").where(
         (F.octet_length("x") * num <= F.octet_length("y") * den) & (F.octet_length("y") * num <= F.octet_length("x") * den)
     )
-    return sized.select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
+    return sized.select("a", "b", "x", "y").mapInArrow(thrifty(work), "a long, b long")
