@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import public_tokenizers
-from korvex.llm import grams, idcodec, lines, mixing, packing, pii, pivots, projections, quality, textkit, tokens, warc
+from korvex.llm import grams, idcodec, lines, mixing, packing, pii, pivots, projections, quality, textkit, tokens, vectors, warc
 from korvex.llm.common import Workspace, connected_components
 from test_llm_queries import check_layout, classes, kept_lines, shingles
 
@@ -374,3 +374,37 @@ def test_components(spark):
         parent[max(a, b)] = min(a, b)
     got = {r["node"]: r["component"] for r in connected_components(Workspace(spark, "t"), spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in got} and {x for e in edges for x in e if e[0] != e[1]} <= set(got)
+
+
+def test_projection_storage(spark, monkeypatch):
+    """What is stored grows with the table, not with queries times cells; and many cells, queries in several blocks and
+    equal vectors give the same rows as one block."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(4000, 32)).astype(np.float32)
+    x[1000:1040] = x[990]
+    rows = spark.createDataFrame([(i, v.tolist(), 0, "t") for i, v in enumerate(x)], VECTORS)
+    monkeypatch.setattr(projections, "BLOCK", 64)
+    for module in (vectors, projections):
+        monkeypatch.setattr(module, "QUERY_BLOCK", 64, raising=False)
+    stored = []
+    load = Workspace.load
+
+    def weighed(self, name, schema):
+        table = load(self, name, schema)
+        if "vec" in table.columns:
+            stored.append(table.selectExpr("sum(octet_length(vec))").first()[0])
+        return table
+
+    monkeypatch.setattr(Workspace, "load", weighed)
+    got = projections.nearest_by_cosine(rows, every=10).toPandas()
+    assert 0 < max(stored) < 4 * x.nbytes
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    hits = 0
+    for q, g in got.groupby("query_id"):
+        score = unit @ unit[q]
+        score[q] = -2
+        best = np.lexsort((np.arange(len(x)), -score.round(12)))[:5]
+        hits += len({*best} & {*g.vec_id})
+        assert list(g["rank"]) == [1, 2, 3, 4, 5] and np.allclose(g.score, score[g.vec_id], atol=1e-12)
+    assert len(got) == 5 * 400 and hits >= 0.9 * len(got)
+    assert got[got.query_id == 990].sort_values("rank").vec_id.tolist() == [1000, 1001, 1002, 1003, 1004]
