@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,9 +60,12 @@ class Workspace:
         return self.spark.read.schema(schema).parquet(self.path(name))
 
     def tidy(self) -> None:
-        """Let Spark's cleaner see that finished steps are out of use, so that their shuffle files go now."""
+        """Let Spark's cleaner see that finished steps are out of use, so that their shuffle files go now; and return what
+        the driver freed to the system, which else adds up over the hundreds of queries of a few operators."""
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
+        trim_jvm(self.spark)
+        give_back()
 
     def drop(self, *names: str) -> None:
         jvm = self.spark.sparkContext._jvm
@@ -70,6 +74,23 @@ class Workspace:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def trim_jvm(spark: SparkSession) -> None:
+    """Return memory that the driver's JVM has freed outside its heap (compilers, threads, buffers) to the system. A JVM
+    without the command System.trim_native_heap is left as it is."""
+    jvm, new_array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    try:
+        name = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        # by reflection on the interface: the class of the server is closed to py4j
+        methods = jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods()
+        invoke = next(m for m in methods if m.getName() == "invoke")
+        given = new_array(jvm.java.lang.Object, 4)
+        given[0], given[1] = name, "systemTrimNativeHeap"
+        invoke.invoke(server, given)
+    except Py4JError:
+        pass
+
+
 def give_back() -> None:
     """Return freed memory to the system. Workers live on from step to step, and several idle ones of an executor would
     each keep the most that any of their tasks took."""
