@@ -14,8 +14,8 @@ is a few array operations, and the models learn from the whole block. An id x is
 * c_k, order 2: the same after the two ids before (a hashed context).
 
 The weights depend on the candidates' confidences together and are learnt: each candidate, and order 0, is credited with
-its share in the prediction of the id that came; weights of candidates that agree add up. All arithmetic is in integers,
-so files decode alike on any machine.
+its share in the prediction of the id that came; weights of candidates that agree add up. All arithmetic is in integers
+(one quotient of small ones is the whole part of a double, and exact), so files decode alike on any machine.
 
 Layout (little endian): magic ``KVXI``, u32 version, u32 blocks, u64 ids, u64 documents, u32 length and u32 CRC-32 of the
 document table (zlib: a bit per document that has an id, doc_ids as i64, lengths as u32); for each block u32 ids, u32
@@ -47,38 +47,96 @@ FILE_IDS = 8_000_000
 #: Bits of the scales of order 0 and of the weights, and of the hashed contexts of order 2.
 BITS0, BITS_W, BITS2 = 20, 10, 18
 CANDIDATES = 4
-_LEVEL = np.array([0, 1, 2, 2, 3, 3, 3, 4, 4, 4, 4, 4, 5, 5, 5, 5], np.int32)
-_STATES = 6 * 6 * 2 * 3 * 3
+TILE = 64
+_LEVEL = np.array([0, 1, 2, 2, 3, 3, 3, 4, 4, 4, 4, 4, 5, 5, 5, 5], np.int64)
 _U = np.uint64
 _SHIFT = _U(BITS0 + BITS_W)
 _TOP, _BOTTOM, _SAME, _MASK = _U(40), _U(1 << 34), _U(1 << 40), _U((1 << 56) - 1)
 _HEAD, _BLOCK_HEAD = "<4sIIQQII", "<IIII"
 HEAD_BYTES, BLOCK_HEAD_BYTES = struct.calcsize(_HEAD), struct.calcsize(_BLOCK_HEAD)
 
+# What a lane's prediction depends on is one small number, and what follows from it is looked up. First come the
+# confidences (a slot's byte: the first candidate's in its low half) ...
+_FIRST, _SECOND = np.arange(256) & 15, np.arange(256) >> 4
+_CLASSES = 6 * 6 * 3 * 3
+_CLASS = [
+    _LEVEL[_FIRST] * 54 + np.minimum(_LEVEL[_SECOND], 2) * 3,  # order 2
+    _LEVEL[_FIRST] * 9 + np.minimum(_LEVEL[_SECOND], 2),  # order 1
+]
+# ... then which candidates of order 2 (a, b) order 1 (c, d) names too, as bits: a = c, a = d, b = c, b = d
+_PATTERNS = np.array([0, 1, 2, 4, 8, 1 | 8, 2 | 4])
+_AC, _AD, _BC, _BD = (((_PATTERNS >> k) & 1)[:, None] for k in range(4))
+_CASES = 16 * _CLASSES
+#: The weights' state of each case: the class, and whether a = c.
+_STATES = 2 * _CLASSES
+_STATE = (np.arange(_CASES) % _CLASSES // 9 * 2 + np.arange(_CASES) // _CLASSES % 2) * 9 + np.arange(_CASES) % 9
+#: Where the part of the first candidate that is named (bits) begins in tables of all cases; the last part is order 0's.
+_PART = _CASES * np.array([CANDIDATES, *[(m & -m).bit_length() - 1 for m in range(1, 16)]])
+_ONES, _TOPS = _U(0x0001000100010001), _U(0x8000800080008000)
+
+
+def _next_slots() -> np.ndarray:
+    """By hits (1: the first candidate, 2: the second) and confidences: the byte of the new confidences, and above it a mask
+    of the id that stays; the other gives way to the id that came."""
+    stays_a, stays_b, out = 0xFFFFFF00, -(1 << 32), []
+    for hits in range(3):
+        for a, b in zip(_FIRST.tolist(), _SECOND.tolist(), strict=True):
+            # a hit makes a candidate surer and a miss less sure; a surer second comes first, and what is new comes second
+            if hits == 1:
+                out.append(stays_b | min(a + 1, 15) | b << 4)
+            elif hits == 2 and b >= a:
+                out.append(min(b + 1, 15) | a << 4)
+            elif hits == 2:
+                out.append(stays_a | a - 1 | b + 1 << 4)
+            else:
+                out.append(stays_a | a - 1 | 1 << 4 if a else stays_b | 1 | b << 4)
+    return np.array(out, np.int64)
+
+
+_NEXT, _SWAPS = _next_slots(), _SECOND >= _FIRST
+
 
 def _due_for_counts(step: int) -> bool:
     return step < 32 and step & (step - 1) == 0 or step % 32 == 0
 
 
-def _mask(flags: np.ndarray) -> np.ndarray:
-    """All bits set where a flag is; choosing by masks costs a tenth of branching on random flags."""
-    return np.negative(flags.view(np.int8)).astype(np.int32)
+def _pick(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``table`` at places that all lie in it: to clip them takes half of the time of a check."""
+    return table.take(at, mode="clip")
+
+
+def _turned(rows: np.ndarray) -> np.ndarray:
+    """The transposed array in memory order, made in tiles: whole columns would miss every cache."""
+    out = np.empty(rows.shape[::-1], rows.dtype)
+    for k in range(0, rows.shape[0], TILE):
+        for j in range(0, rows.shape[1], TILE):
+            out[j : j + TILE, k : k + TILE] = rows[k : k + TILE, j : j + TILE].T
+    return out
 
 
-def _choose(mask: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return b ^ ((a ^ b) & mask)
+def _bits(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Four flags as one number, by additions: shifts of bytes take twice as long."""
+    out = d.view(np.uint8) * np.uint8(2)
+    out += c.view(np.uint8)
+    out += out
+    out += b.view(np.uint8)
+    out += out
+    out += a.view(np.uint8)
+    return out
 
 
 class _Models:
-    """The models of a block of ids below ``alphabet``; a slot of a context is id << 4 | confidence."""
+    """The models of a block of ids below ``alphabet``; a slot of a context holds both its candidates."""
 
     def __init__(self, alphabet: int, lanes: int, decodes: bool):
         self.alphabet, self.decodes = alphabet, decodes
-        #: both slots of a context in one number, the first in its low half; they never name one id, at first 0 and 1
-        self.slots = [np.full(n, 1 << 36, np.int64) for n in (1 << BITS2, alphabet)]
+        #: bits 0 to 3 and 4 to 7: confidences; from bit 8 and from bit 32: ids, which always differ, at first 0 and 1
+        self.slots = [np.full(n, 1 << 32, np.int64) for n in (1 << BITS2, alphabet)]
         self.credit = np.full((CANDIDATES + 1, _STATES), 16, np.int64)
         self.seen, self.waiting = np.zeros(alphabet, np.int64), []
-        self.before, self.last = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
+        self.before, self.last, self.wide = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32), np.zeros(lanes, np.int64)
+        #: candidates of all lanes: order 2, order 1, and a row for none
+        self.ids, self.lanes = np.zeros((CANDIDATES + 1, lanes), np.int32), np.arange(lanes)
         self.step = 0
         self._count()
         self._weigh()
@@ -90,86 +148,94 @@ class _Models:
         whole = (1 << BITS0) - self.alphabet
         share = 1 + self.seen * whole // max(1, int(self.seen.sum()))
         share[np.argmax(self.seen)] += (1 << BITS0) - int(share.sum())
-        self.share0 = share
-        self.start0 = np.cumsum(share) - share
+        #: start and width of each id's part of order 0
+        self.spread = (np.cumsum(share) - share) << 32 | share
         if self.decodes:
-            self.id_at = np.repeat(np.arange(self.alphabet, dtype=np.int32), share)
+            self.id_at = np.repeat(np.arange(self.alphabet, dtype=np.uint16 if self.alphabet <= 1 << 16 else np.int32), share)
 
     def _weigh(self) -> None:
         out = 1 + self.credit * ((1 << BITS_W) - CANDIDATES - 1) // self.credit.sum(axis=0)
         out[CANDIDATES] = (1 << BITS_W) - out[:CANDIDATES].sum(axis=0)
         self.weights = out.astype(np.int32)
+        w = out[:, _STATE.reshape(16, _CLASSES)[_PATTERNS]]
+        # a candidate of order 1 that order 2 names too is one with it; the two of an order differ
+        own = [w[0] + w[2] * _AC + w[3] * _AD, w[1] + w[2] * _BC + w[3] * _BD, w[2] * (1 - (_AC | _BC)), w[3] * (1 - (_AD | _BD))]
+        ends = np.cumsum(own, axis=0)
+        #: start and width of each part of a case in a range of 2**(BITS0 + BITS_W); of order 0 the start, its weight apart
+        self.parts, self.rest = np.zeros((2, CANDIDATES + 1, 16, _CLASSES), np.int64)
+        for k in range(CANDIDATES):
+            self.parts[k, _PATTERNS] = (ends[k] - own[k]) << 32 + BITS0 | own[k] << BITS0
+        self.parts[CANDIDATES, _PATTERNS], self.rest[CANDIDATES, _PATTERNS] = ends[-1] << 32 + BITS0, w[CANDIDATES]
+        self.parts, self.rest = self.parts.reshape(-1), self.rest.reshape(-1)
+        if self.decodes:
+            self.ends = np.zeros((16, _CLASSES), np.uint64)
+            self.ends[_PATTERNS] = ends[0] | ends[1] << 16 | ends[2] << 32 | ends[3] << 48
+            self.ends = self.ends.reshape(-1)
 
     def predict(self) -> None:
-        """Candidates, their weights, and where each one's part of the range ends."""
+        """Candidates, and the case of each lane."""
         mixed = self.last.view(np.uint32) * np.uint32(0x9E3779B1) + self.before.view(np.uint32) * np.uint32(0x85EBCA6B)
-        self.at = [(mixed >> np.uint32(32 - BITS2)).astype(np.int64), self.last.astype(np.int64)]
-        pairs = [s.take(i).view(np.int32) for s, i in zip(self.slots, self.at, strict=True)]
-        self.held = [np.ascontiguousarray(x) for p in pairs for x in (p[::2], p[1::2])]
-        self.ids = ids = [h >> 4 for h in self.held]
-        self.conf = [h & 15 for h in self.held]
-        level = [_LEVEL.take(c) for c in self.conf]
-        state = (level[0] * 6 + level[2]) * 2 + (ids[0] == ids[2])
-        self.state = ((state * 3 + np.minimum(level[1], 2)) * 3 + np.minimum(level[3], 2)).astype(np.int64)
-        self.w = w = [row.take(self.state) for row in self.weights]
-        # a candidate of order 1 that order 2 names too is one with it; the two of an order differ
-        same = [[_mask(ids[j] == ids[k]) for k in (2, 3)] for j in (0, 1)]
-        own = [w[j] + (w[2] & same[j][0]) + (w[3] & same[j][1]) for j in (0, 1)]
-        self.alone = [~(same[0][k] | same[1][k]) for k in (0, 1)]
-        own += [w[2 + k] & self.alone[k] for k in (0, 1)]
-        self.own, self.ends = own, []
-        for o in own:
-            self.ends.append(o + self.ends[-1] if self.ends else o)
+        self.at = [(mixed >> np.uint32(32 - BITS2)).astype(np.int64), self.wide]
+        self.held = [_pick(s, i) for s, i in zip(self.slots, self.at, strict=True)]
+        self.conf = [h & 255 for h in self.held]
+        for k, h in enumerate(self.held):
+            halves = h.view(np.int32)
+            np.right_shift(halves[::2], 8, out=self.ids[2 * k])
+            self.ids[2 * k + 1] = halves[1::2]
+        a, b, c, d, _ = self.ids
+        self.case = np.multiply(_bits(a == c, a == d, b == c, b == d), _CLASSES, dtype=np.int64)
+        self.case += _pick(_CLASS[0], self.conf[0])
+        self.case += _pick(_CLASS[1], self.conf[1])
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and width of ``ids`` in a range of 2**(BITS0 + BITS_W)."""
-        self.named = [_mask(c == ids) for c in self.ids]
-        hits = [*self.named[:2], *[n & a for n, a in zip(self.named[2:], self.alone, strict=True)]]
-        width = (self.own[0] & hits[0]) | (self.own[1] & hits[1]) | (self.own[2] & hits[2]) | (self.own[3] & hits[3])
-        start = (self.ends[0] & hits[1]) | (self.ends[1] & hits[2]) | (self.ends[2] & hits[3])
-        self.missed = missed = ~(hits[0] | hits[1] | hits[2] | hits[3])
-        start |= self.ends[3] & missed
-        w0 = (self.w[CANDIDATES] & missed).astype(np.int64)
-        return (start.astype(np.int64) << BITS0) + w0 * self.start0.take(ids), (width.astype(np.int64) << BITS0) + w0 * self.share0.take(ids)
+        self.named = [c == ids for c in self.ids[:CANDIDATES]]
+        self.bits, self.coming = _bits(*self.named), ids.astype(np.int64)
+        at = _pick(_PART, self.bits.astype(np.int64))
+        at += self.case
+        both = _pick(self.rest, at)
+        both *= _pick(self.spread, self.coming)
+        both += _pick(self.parts, at)
+        return both >> 32, both & 0xFFFFFFFF
 
     def find(self, value: np.ndarray) -> np.ndarray:
         """The ids whose intervals hold ``value``."""
-        high = (value >> BITS0).astype(np.int32)
-        behind = [_mask(high >= e) for e in self.ends]
-        out = self.ids[0]
-        for k in range(CANDIDATES - 1):
-            out = _choose(behind[k], self.ids[k + 1], out)
-        other = np.flatnonzero(behind[CANDIDATES - 1])
-        rest = value.take(other) - (self.ends[CANDIDATES - 1].take(other).astype(np.int64) << BITS0)
-        out[other] = self.id_at.take(rest // self.w[CANDIDATES].take(other))
+        high = (value >> BITS0).view(np.uint64)
+        # how many of the four ends, 16 bits each, are not above
+        part = np.bitwise_count(((high * _ONES | _TOPS) - _pick(self.ends, self.case)) & _TOPS)
+        at = np.multiply(part, len(value), dtype=np.int64)
+        at += self.lanes
+        out = _pick(self.ids, at)
+        other = np.flatnonzero(part == CANDIDATES)
+        at = _pick(self.case, other) + CANDIDATES * _CASES
+        # both below 2**30: the quotient's whole part is exact
+        place = (_pick(value, other) - (_pick(self.parts, at) >> 32)) / _pick(self.rest, at)
+        out[other] = _pick(self.id_at, place.astype(np.int64))
         return out
 
     def learn(self, ids: np.ndarray) -> None:
         """Take in the ids of this step; :meth:`interval` was asked for them."""
         if self.step < 64 or self.step % 16 == 0:
-            parts = [w & n for w, n in zip(self.w, self.named, strict=False)]
+            state = _pick(_STATE, self.case)
+            parts = [_pick(w, state) * n for w, n in zip(self.weights, self.named, strict=False)]
             whole = np.maximum(parts[0] + parts[1] + parts[2] + parts[3], 1)
-            parts = [*[(p << 10) // whole for p in parts], self.missed & 1024]
-            self.credit += np.array([np.bincount(self.state, p, _STATES) for p in parts]).astype(np.int64)
+            parts = [*[(p << 10) // whole for p in parts], (self.bits == 0) * np.int32(1024)]
+            self.credit += np.array([np.bincount(state, p, _STATES) for p in parts]).astype(np.int64)
             self._weigh()
-        named = ids << 4
+        named = self.coming << 8 | self.coming << 32
         for k in range(2):
-            a, b, hit_a, hit_b = (x[2 * k + i] for x in (self.held, self.named) for i in (0, 1))
-            conf_a, conf_b = self.conf[2 * k], self.conf[2 * k + 1]
-            other = ~hit_a
-            first = _mask(conf_a == 0) & other
-            swap = hit_b & _mask(conf_b >= conf_a) & other
-            # a hit makes a candidate surer and a miss less sure; a surer second comes first, and what is new comes second
-            new = np.empty((len(ids), 2), np.int32)
-            more, less = np.minimum(conf_a + 1, 15), np.maximum(conf_a - 1, 0)
-            kept = (a - conf_a) + _choose(hit_a, more, less)
-            kept = _choose(first, named + 1, kept)
-            new[:, 0] = _choose(swap, named + np.minimum(conf_b + 1, 15), kept)
-            kept = _choose(hit_b, b + (conf_b < 15), named + 1)
-            new[:, 1] = _choose(swap, a, _choose(hit_a | first, b, kept))
-            self.slots[k][self.at[k]] = new.view(np.int64)[:, 0]
+            hits = np.multiply(self.bits >> 2 * k & 3, 256, dtype=np.int64)
+            hits += self.conf[k]
+            new = self.held[k] | 255
+            new ^= named
+            new &= _pick(_NEXT, hits)
+            new ^= named
+            rows = np.flatnonzero(self.named[2 * k + 1])
+            rows = rows[_pick(_SWAPS, _pick(self.conf[k], rows))]
+            new.view(np.int32)[1::2][rows] = _pick(self.ids[2 * k], rows)
+            self.slots[k][self.at[k]] = new
         self.waiting.append(ids)
-        self.before, self.last = self.last, ids
+        self.before, self.last, self.wide = self.last, ids, self.coming
         self.step += 1
         if _due_for_counts(self.step):
             self._count()
@@ -179,26 +245,27 @@ class _Coder:
     def __init__(self, n: int):
         self.low, self.range = np.zeros(n, np.uint64), np.full(n, _MASK)
 
-    def _due(self) -> tuple[np.ndarray, np.ndarray]:
-        same = (self.low ^ (self.low + self.range)) < _SAME
-        return np.flatnonzero(same | (self.range < _BOTTOM)), same
-
     def narrow(self, step, start, width) -> None:
-        self.low += step * start.astype(np.uint64)
-        self.range = step * width.astype(np.uint64)
+        self.low += step * start.view(np.uint64)
+        self.range = step * width.view(np.uint64)
 
     def settle(self) -> None:
         """Shift words out of every lane until its range is wide again; where the range is narrow and the top bits still
         differ, it is cut so that they agree."""
+        due, low, width = None, self.low, self.range
         while True:
-            due, same = self._due()
-            if not len(due):
+            same = (low ^ (low + width)) < _SAME
+            more = np.flatnonzero(same | (width < _BOTTOM))
+            if not len(more):
                 return
-            low, width = self.low[due], self.range[due]
-            width = np.where(same[due], width, (_U(0) - low) & (_BOTTOM - _U(1)))
+            due = more if due is None else _pick(due, more)
+            low, width, same = _pick(low, more), _pick(width, more), _pick(same, more)
+            if not same.all():
+                width = np.where(same, width, (_U(0) - low) & (_BOTTOM - _U(1)))
             self.shift(due, low)
-            self.low[due] = (low << _U(16)) & _MASK
-            self.range[due] = width << _U(16)
+            low = (low << _U(16)) & _MASK
+            width = width << _U(16)
+            self.low[due], self.range[due] = low, width
 
 
 class _Encoder(_Coder):
@@ -215,16 +282,20 @@ class _Encoder(_Coder):
         point = (self.low + _U((1 << 24) - 1)) >> _U(24)
         every = np.arange(n, dtype=np.uint16)
         self.out += [(every, (point >> _U(16)).astype(np.uint16)), (every, (point & _U(0xFFFF)).astype(np.uint16))]
-        lanes, words = (np.concatenate(x) for x in zip(*self.out, strict=True))
-        return np.bincount(lanes, minlength=n), words[np.argsort(lanes, kind="stable")]
+        counts = np.bincount(np.concatenate([lanes for lanes, _ in self.out]), minlength=n)
+        out, place = np.empty(int(counts.sum()), np.uint16), np.cumsum(counts) - counts
+        for lanes, words in self.out:
+            at = place[lanes]
+            out[at] = words
+            place[lanes] = at + 1
+        return counts, out
 
 
 class _Decoder(_Coder):
     def __init__(self, counts: np.ndarray, words: np.ndarray):
         super().__init__(len(counts))
         self.words = np.append(words, np.uint16(0))
-        ends = np.cumsum(counts)
-        self.at, self.ends = ends - counts, ends
+        self.at = np.cumsum(counts) - counts
         self.code = np.zeros(len(counts), np.uint64)
         every = np.arange(len(counts))
         for _ in range(3):
@@ -235,15 +306,16 @@ class _Decoder(_Coder):
         self.tail = word & _U(0xFF)
 
     def _next(self, due) -> np.ndarray:
-        at = self.at[due]
+        at = _pick(self.at, due)
         self.at[due] = at + 1
-        return self.words[np.where(at < self.ends[due], at, len(self.words) - 1)].astype(np.uint64)
+        # beyond a lane's words any would do: its two last words name a point whose lower bits are free
+        return _pick(self.words, at).astype(np.uint64)
 
     def shift(self, due, low) -> None:
         word = self._next(due)
-        fed = (self.tail[due] << _U(8)) | (word >> _U(8))
+        fed = (_pick(self.tail, due) << _U(8)) | (word >> _U(8))
         self.tail[due] = word & _U(0xFF)
-        self.code[due] = ((self.code[due] << _U(16)) & _MASK) | fed
+        self.code[due] = ((_pick(self.code, due) << _U(16)) & _MASK) | fed
 
 
 def encode_block(ids: np.ndarray) -> bytes:
@@ -253,7 +325,7 @@ def encode_block(ids: np.ndarray) -> bytes:
     padded = np.zeros(lanes * steps, np.int32)
     padded[:n] = ids
     models, coder = _Models(alphabet, lanes, False), _Encoder(lanes)
-    for own in np.ascontiguousarray(padded.reshape(lanes, steps).T):
+    for own in _turned(padded.reshape(lanes, steps)):
         models.predict()
         coder.narrow(coder.range >> _SHIFT, *models.interval(own))
         coder.settle()
@@ -284,7 +356,7 @@ def decode_block(data: bytes, at: int) -> tuple[np.ndarray, int]:
         coder.narrow(step, *models.interval(own))
         coder.settle()
         models.learn(own)
-    ids = out.T.reshape(-1)[:n].astype(np.uint32)
+    ids = _turned(out).reshape(-1)[:n].astype(np.uint32)
     if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
         raise ValueError("a block does not match its checksum")
     return ids, at
