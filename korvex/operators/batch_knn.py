@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,22 +14,33 @@ from pyspark.sql.window import Window
 from ..errors import InvalidInput
 from ..schema import metric_name
 
-#: Queries that travel to every task, and that a task scores at a time: the bound of what is broadcast.
+#: Queries that travel to every task: the bound of what is broadcast.
 QUERY_BLOCK = 2048
-#: Rows that a task scores against a block of queries.
-ROW_BLOCK = 16384
+#: Rows that a task holds at a time, and the numbers in them: long vectors make smaller blocks.
+ROW_BLOCK, ROW_VALUES = 16384, 1 << 22
+#: Queries that pass by a block of rows in one task.
+QUERY_STREAM = 65536
+#: Distances in a matrix (8 MB), of which a task has four or five copies at once.
+TILE = 1 << 20
 
 
-def score_matrix(metric: str, x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Distances (queries, rows) in double precision."""
+def score_matrix(metric: str, x: np.ndarray, q: np.ndarray, squares: np.ndarray | None = None) -> np.ndarray:
+    """Distances (queries, rows) in double precision; ``squares``: the rows' squared lengths if they are known."""
+    d = q @ x.T
     if metric == "ip":
-        return -(q @ x.T)
+        return np.negative(d, out=d)
+    squares = (x * x).sum(axis=1) if squares is None else squares
     if metric == "cosine":
-        both = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]
+        both = np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt(squares)[None, :]
         with np.errstate(divide="ignore", invalid="ignore"):
-            return np.where(both == 0, 2.0, 1 - (q @ x.T) / both)
-    squares = (q * q).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None, :] - 2 * (q @ x.T)
-    return np.sqrt(np.maximum(squares, 0))
+            d /= both
+        np.subtract(1, d, out=d)
+        d[both == 0] = 2.0
+        return d
+    d *= -2
+    d += (q * q).sum(axis=1)[:, None]
+    d += squares[None, :]
+    return np.sqrt(np.maximum(d, 0, out=d), out=d)
 
 
 def _exact(metric: str, x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -45,14 +56,28 @@ def _exact(metric: str, x: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def _nearest(metric: str, x: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, ids and distances of the k nearest of each query by (distance, id). Whatever the matrix form does not put
-    beyond the k-th by more than its rounding is scored again, however many rows that are."""
-    d = score_matrix(metric, x, q)
+    """Rows, ids and distances of the k nearest of each query by (distance, id)."""
+    parts = list(_nearest_tiles(metric, x, ids, q, k))
+    return tuple(np.concatenate(c) for c in zip(*parts))
+
+
+def _nearest_tiles(metric: str, x: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``_nearest`` of so many queries at a time that their distances fill a tile."""
+    step, squares = max(1, TILE // max(1, len(ids))), (x * x).sum(axis=1)
+    for at in range(0, len(q), step):
+        rows, near, d = _nearest_tile(metric, x, ids, q[at : at + step], k, squares)
+        yield rows + at, near, d
+
+
+def _nearest_tile(metric: str, x: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int, squares: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whatever the matrix form does not put beyond the k-th by more than its rounding is scored again, however many rows
+    that are."""
+    d = score_matrix(metric, x, q, squares)
     if metric == "l2":
         d *= d  # the root loses digits near 0
     unit = 8 * (x.shape[1] + 8) * np.finfo(float).eps
     with np.errstate(invalid="ignore", over="ignore"):
-        far, norms = (x * x).sum(axis=1).max(initial=0), (q * q).sum(axis=1)
+        far, norms = squares.max(initial=0), (q * q).sum(axis=1)
         margin = unit * (np.ones(len(q)) if metric == "cosine" else norms + far)
     cut = np.partition(d, k - 1, axis=1)[:, k - 1] if k < len(ids) else np.full(len(q), np.inf)
     rows, near, found = [], [], []
@@ -69,9 +94,9 @@ def _nearest(metric: str, x: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int)
 def batch_knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
     """query_id, rank, id, distance: the k nearest of each query (query_id, vector) among vectors (id, vector).
 
-    Up to ``QUERY_BLOCK`` queries go out to all tasks, and each scores its rows against them as one matrix product and
-    sends on k rows a query and batch. More queries never pass through the driver: both sides are dealt over blocks by a
-    hash, and every pair of blocks is scored in a task of its own. Null vectors are left out.
+    Up to ``QUERY_BLOCK`` queries go out to all tasks, and each scores its rows against them and sends on k rows a query
+    and batch. More queries never pass through the driver: rows are dealt over blocks by a hash, and the queries pass by
+    each block in a task of its own. Null vectors are left out.
     """
     metric = metric_name(metric)
     spark, schema = vectors.sparkSession, "query_id long, id long, distance double"
@@ -86,47 +111,77 @@ def batch_knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2"
         few.sort(key=lambda r: r["query_id"])
         found = _scan(rows, np.array([r["query_id"] for r in few]), np.array([r["vector"] for r in few], float), k, metric, schema)
     else:
-        found = _block_pairs(rows, asked, k, metric, schema)
+        found = _stream(rows, asked, k, metric, schema, len(few[0]["vector"]))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
     ranked = found.withColumn("rank", place.cast("int")).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "id", "distance")
 
 
+def _block_rows(dim: int) -> int:
+    return max(1, min(ROW_BLOCK, ROW_VALUES // max(1, dim)))
+
+
+def _matrix(vectors: pa.Array, dim: int) -> np.ndarray:
+    if pc.any(pc.not_equal(pc.list_value_length(vectors), dim)).as_py():
+        raise InvalidInput("a vector has another dimension than the queries")
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), dim)
+
+
+def _found(metric: str, x: np.ndarray, ids: np.ndarray, names: np.ndarray, q: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    for rows, near, d in _nearest_tiles(metric, x, ids, q, k):
+        yield pa.RecordBatch.from_arrays([pa.array(names[rows], pa.int64()), pa.array(near, pa.int64()), pa.array(d + 0.0)], ["query_id", "id", "distance"])
+
+
 def _scan(vectors: DataFrame, names: np.ndarray, q: np.ndarray, k: int, metric: str, schema: str) -> DataFrame:
+    dim = q.shape[1]
+    size = _block_rows(dim)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            if not len(ids):
-                continue
-            flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            if flat.size != len(ids) * q.shape[1]:
-                raise InvalidInput("a vector has another dimension than the queries")
-            rows, near, d = _nearest(metric, flat.reshape(len(ids), -1), ids, q, k)
-            yield pa.RecordBatch.from_arrays([pa.array(names[rows], pa.int64()), pa.array(near, pa.int64()), pa.array(d + 0.0)], ["query_id", "id", "distance"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, size):
+                b = whole.slice(at, size)
+                yield from _found(metric, _matrix(b.column(1), dim), b.column(0).to_numpy(zero_copy_only=False), names, q, k)
 
     return vectors.mapInArrow(work, schema)
 
 
-def _block_pairs(vectors: DataFrame, queries: DataFrame, k: int, metric: str, schema: str) -> DataFrame:
-    def dealt(df: DataFrame, ident: str, own: str, blocks: int, other: str, others: int) -> DataFrame:
-        df = df.withColumn(own, F.pmod(F.xxhash64(ident), F.lit(blocks)).cast("int"))
-        return df.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+def _stream(vectors: DataFrame, queries: DataFrame, k: int, metric: str, schema: str, dim: int) -> DataFrame:
+    """A task holds a block of rows, which come first, and scores the queries against it as they come."""
+    n, cores = vectors.count(), vectors.sparkSession.sparkContext.defaultParallelism
+    blocks = -(-n // _block_rows(dim))
+    blocks = -(-blocks // cores) * cores if blocks > cores else max(1, blocks, min(cores, n // QUERY_BLOCK))  # full waves of tasks
+    groups = max(1, -(-queries.count() // QUERY_STREAM))
 
-    n_rows, n_queries = max(1, -(-vectors.count() // ROW_BLOCK)), max(1, -(-queries.count() // QUERY_BLOCK))
-    left = dealt(queries, "query_id", "qb", n_queries, "rb", n_rows)
-    right = dealt(vectors, "id", "rb", n_rows, "qb", n_queries)
+    def dealt(df: DataFrame, ident: str, own: str, many: int, other: str, others: int, later: bool) -> DataFrame:
+        df = df.withColumn(own, F.pmod(F.xxhash64(ident, "vector"), F.lit(many)).cast("int"))
+        df = df.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+        return df.select((F.col("group") * blocks + F.col("block")).alias("pair"), F.lit(later).alias("later"), F.col(ident).alias("name"), "vector")
 
-    def work(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(x):
-            return pd.DataFrame({"query_id": [], "id": [], "distance": []})
-        names, asked, rows = q["query_id"].to_numpy(), np.stack(q["vector"]).astype(float), np.stack(x["vector"]).astype(float)
-        if asked.shape[1] != rows.shape[1]:
-            raise InvalidInput("a vector has another dimension than the queries")
-        at, near, d = _nearest(metric, rows, x["id"].to_numpy(), asked, k)
-        return pd.DataFrame({"query_id": names[at], "id": near, "distance": d + 0.0})
+    rows = dealt(vectors, "id", "block", blocks, "group", groups, False)
+    asked = dealt(queries, "query_id", "group", groups, "block", blocks, True)
 
-    keys = ["qb", "rb"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(work, schema)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, ids, x = None, [], []
+        for b in batches:
+            pairs, later = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            edges = np.flatnonzero((np.diff(pairs) != 0) | (later[1:] != later[:-1])) + 1
+            for start, end in zip([0, *edges], [*edges, len(pairs)]):
+                if start == end:
+                    continue
+                if pairs[start] != pair:
+                    pair, ids, x = pairs[start], [], []
+                part = b.slice(start, end - start)
+                names, v = part.column(2).to_numpy(zero_copy_only=False), _matrix(part.column(3), dim)
+                if not later[start]:
+                    ids.append(names)
+                    x.append(v)
+                elif x:
+                    if len(x) > 1:
+                        ids, x = [np.concatenate(ids)], [np.concatenate(x)]
+                    yield from _found(metric, x[0], ids[0], names, v, k)
+
+    pairs = rows.unionByName(asked).repartitionById(blocks * groups, "pair")
+    return pairs.sortWithinPartitions("pair", "later").mapInArrow(work, schema)
 
 
 def recall_at_k(expected: DataFrame, actual: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Batch k-NN with more ties at the cut than k."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -40,3 +42,33 @@ def test_many_queries_in_block_pairs(spark, monkeypatch):
     monkeypatch.setattr(B, "ROW_BLOCK", 40)
     for m, want in whole.items():
         assert sorted(map(tuple, B.batch_knn(rows, asked, 7, m).collect())) == want
+
+
+@pytest.mark.parametrize("metric", ["cosine"])
+def test_memory_of_a_block(metric):
+    rng = np.random.default_rng(6)
+    x, q = rng.normal(size=(8192, 8)), rng.normal(size=(1500, 8))
+    tracemalloc.start()
+    rows, near, d = _nearest(metric, x, np.arange(len(x)), q, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows.tolist() == np.repeat(np.arange(len(q)), 5).tolist()
+    assert peak < len(x) * len(q) * 8 * 0.6  # not even one matrix of all distances
+
+
+@pytest.mark.parametrize("metric", ["cosine"])
+def test_queries_pass_by_blocks_in_groups(spark, monkeypatch, metric):
+    from korvex.operators import batch_knn as B
+
+    rng = np.random.default_rng(9)
+    x = rng.integers(-2, 3, (130, 3)).astype(float)
+    rows = spark.createDataFrame([(i % 65, v.tolist()) for i, v in enumerate(x)], "id long, vector array<float>")
+    asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[:50])], "query_id long, vector array<double>")
+    whole = sorted(map(tuple, B.batch_knn(rows, asked, 4, metric).collect()))
+    for name, value in (("QUERY_BLOCK", 8), ("ROW_BLOCK", 30), ("QUERY_STREAM", 20), ("TILE", 64)):
+        monkeypatch.setattr(B, name, value)
+    assert sorted(map(tuple, B.batch_knn(rows, asked, 4, metric).collect())) == whole
+    assert len(whole) == 200
+    odd = asked.unionByName(spark.createDataFrame([(99, [1.0, 2.0])], "query_id long, vector array<double>"))
+    with pytest.raises(Exception, match="another dimension"):
+        B.batch_knn(rows, odd, 4, metric).collect()
