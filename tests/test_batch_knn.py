@@ -44,7 +44,7 @@ def test_many_queries_in_block_pairs(spark, monkeypatch):
         assert sorted(map(tuple, B.batch_knn(rows, asked, 7, m).collect())) == want
 
 
-@pytest.mark.parametrize("metric", ["cosine", "l2"])
+@pytest.mark.parametrize("metric", ["cosine", "l2", "ip"])
 def test_memory_of_a_block(metric):
     rng = np.random.default_rng(6)
     x, q = rng.normal(size=(8192, 8)), rng.normal(size=(1500, 8))
@@ -56,7 +56,7 @@ def test_memory_of_a_block(metric):
     assert peak < len(x) * len(q) * 8 * 0.6  # not even one matrix of all distances
 
 
-@pytest.mark.parametrize("metric", ["cosine", "l2"])
+@pytest.mark.parametrize("metric", ["cosine", "l2", "ip"])
 def test_queries_pass_by_blocks_in_groups(spark, monkeypatch, metric):
     from korvex.operators import batch_knn as B
 
