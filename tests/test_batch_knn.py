@@ -72,3 +72,15 @@ def test_queries_pass_by_blocks_in_groups(spark, monkeypatch, metric):
     odd = asked.unionByName(spark.createDataFrame([(99, [1.0, 2.0])], "query_id long, vector array<double>"))
     with pytest.raises(Exception, match="another dimension"):
         B.batch_knn(rows, odd, 4, metric).collect()
+
+
+def test_recall_reads_each_side_once(spark, sf):
+    from korvex.operators.batch_knn import recall_at_k
+    from korvex.queries import QUERIES
+
+    plan = QUERIES["recall_at_k"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2
+    pairs = "query_id long, id long"
+    want = spark.createDataFrame([(1, 5), (1, 6), (1, 7), (1, 8), (2, 5)], pairs)
+    got = spark.createDataFrame([(1, 8), (1, 8), (1, 5), (1, 9), (3, 5)], pairs)
+    assert sorted(map(tuple, recall_at_k(want, got).collect())) == [(1, 0.5), (2, 0.0)]
