@@ -2,24 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 from pyspark.sql.window import Window
 
 
+#: Rows of the sample for each bucket that bounds of buckets are picked from.
+BUCKET_SAMPLE = 32
+
+
+def _bounds(df: DataFrame, columns: list[str], n: int) -> list[Row]:
+    """At most n - 1 keys in order that split the rows about evenly, as a sample has them; no rank depends on the sample."""
+    share = min(1.0, BUCKET_SAMPLE * n / max(1, df.count()))
+    keys = df.select(*columns) if share == 1 else df.select(*columns).sample(share, seed=7)
+    keys = keys.agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("k")).first()["k"]
+    picked = [keys[len(keys) * i // n] for i in range(1, n)] if keys else []
+    return [k for i, k in enumerate(picked) if i == 0 or k != picked[i - 1]]
+
+
+def _bucket(df: DataFrame, columns: list[str], bounds: list[Row]) -> Column:
+    """How many of the bounds lie below a row's key, by halving: a step for each bit of their number."""
+    if not bounds:
+        return F.lit(0)
+    key = F.struct(*columns)
+    table = F.array(*[F.struct(*[F.lit(x).alias(c) for c, x in zip(columns, b)]) for b in bounds]).cast(ArrayType(df.select(key).schema[0].dataType))
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get(table, at + s - 1) < key, at + s).otherwise(at))  # beyond the table: null
+
+
 def global_rank(df: DataFrame, value: str, ties: list[str], out: str, buckets: int | None = None) -> DataFrame:
     """``out``: 1-based rank by (value, *ties) over all rows; ``value`` is numeric and not null.
 
-    Rows are bucketed at approximate quantiles, ranked within buckets, and shifted by the sizes of the buckets below:
-    the only table that one task sees whole has a row per bucket.
+    Rows are bucketed by (value, *ties) at bounds from a sample, so rows of one value are divided too, ranked within
+    buckets, and shifted by the sizes of the buckets below: the only table that one task sees whole has a row per bucket.
     """
     n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = df.agg(F.percentile_approx(F.col(value).cast("double"), [i / n for i in range(1, n)], 10_000).alias("c")).first()["c"] if n > 1 else []
-    cuts = sorted(set(cuts or []))
-    bucket = F.lit(0)
-    for c in cuts:
-        bucket = bucket + (F.col(value) > F.lit(c)).cast("int")
-    dealt = df.withColumn("__bucket", bucket)
+    columns = [value, *ties]
+    dealt = df.withColumn("__bucket", _bucket(df, columns, _bounds(df, columns, n) if n > 1 else []))
     sizes = dealt.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
     below = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("__bucket", F.coalesce(F.sum("__n").over(below), F.lit(0)).alias("__below"))
